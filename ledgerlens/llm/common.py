@@ -10,7 +10,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,23 @@ WORDS_AT_ONCE = 1_000_000
 U64 = np.uint64
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, once a context: they need not have it
+    installed, nor share the driver's folders."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    where = Path(tempfile.mkdtemp(prefix="ledgerlens-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(where))
+    sc._ledgerlens_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -165,7 +183,3 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             held = [batch]
     if held:
         yield pa.Table.from_batches(held)
-
-
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_filters
+from . import decontaminate, html_text, langid, sentencepieces, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_html_text": html_text.op4_html_text,
+    "op5_sentencepiece": sentencepieces.op5_sentencepiece,
+    "op6_language_id": langid.op6_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL = {
