@@ -183,3 +183,48 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             held = [batch]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def keyed(docs: DataFrame, key: str = "__key") -> DataFrame:
+    """docs with a whole number that tells documents apart and orders them: the
+    doc_id, if ids are whole, unique and not null. Else rows of the same id and
+    text are one document, null ids come last, and texts of one id are ordered by
+    their hash."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        n = docs.agg(F.count("*").alias("all"), F.countDistinct("doc_id").alias("ids")).first()
+        if n["all"] == n["ids"]:
+            return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
+    pairs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
+    rows = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    numbers = materialize(docs.sparkSession.createDataFrame(rows, f"__id {kind}, __h long, {key} long"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__h"))
+    return docs.join(numbers, same).drop("__id", "__h")
+
+
+def packed_spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Spans as one long each: start above, stop below."""
+    return (starts.astype(np.int64) << 32) | stops.astype(np.int64)
+
+
+def span_mask(spans: np.ndarray, n: int) -> np.ndarray:
+    """Which of n positions lie in a packed span."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, np.clip(spans >> 32, 0, n), 1)
+    np.add.at(edge, np.clip(spans & 0xFFFFFFFF, 0, n), -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def merged_runs(keys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of spans by key, as disjoint spans sorted by key and start."""
+    if not len(keys):
+        return keys, starts, stops
+    order = np.lexsort((starts, keys))
+    keys, starts, stops = keys[order], starts[order].astype(np.int64), stops[order].astype(np.int64)
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    lift = np.cumsum(first) * (int(stops.max()) + 2)  # sets keys apart, so one running maximum will do
+    reach = np.maximum.accumulate(stops + lift)
+    new = first | np.concatenate([[True], (starts + lift)[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    ends = np.concatenate([at[1:], [len(keys)]]) - 1
+    return keys[at], starts[at], reach[ends] - lift[ends]

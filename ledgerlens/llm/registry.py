@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, sentencepieces, toxicity, url_filters
+from . import decontaminate, html_text, langid, sentencepieces, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
     "op6_language_id": langid.op6_language_id,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_decontamination": decontaminate.ORACLE_SQL,
 }
