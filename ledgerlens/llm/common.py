@@ -70,10 +70,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here,
-    so a lost executor costs no recomputation of what came before."""
+    so a lost executor costs no recomputation of what came before, and the
+    shuffle files behind the table are dropped once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def remove() -> None:
@@ -185,16 +192,22 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether the ids are whole, unique and not null."""
+    if dict(docs.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    n = docs.agg(F.count("*").alias("all"), F.countDistinct("doc_id").alias("ids")).first()
+    return n["all"] == n["ids"]
+
+
 def keyed(docs: DataFrame, key: str = "__key") -> DataFrame:
     """docs with a whole number that tells documents apart and orders them: the
     doc_id, if ids are whole, unique and not null. Else rows of the same id and
     text are one document, null ids come last, and texts of one id are ordered by
     their hash."""
     kind = dict(docs.dtypes)["doc_id"]
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        n = docs.agg(F.count("*").alias("all"), F.countDistinct("doc_id").alias("ids")).first()
-        if n["all"] == n["ids"]:
-            return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
+    if ids_are_keys(docs):
+        return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
     pairs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
     rows = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
     numbers = materialize(docs.sparkSession.createDataFrame(rows, f"__id {kind}, __h long, {key} long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, sentencepieces, substring_dedup, toxicity, url_filters
+from . import decontaminate, html_text, jaccard_join, langid, sentencepieces, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_decontamination": decontaminate.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
