@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, merged_runs, mix, packed_spans, ship, sorted_groups, span_mask, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
+from .common import U64, keyed, materialize, merged_runs, mix, packed_spans, ship, sorted_groups, span_mask, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
 
 WIDTH = 20
 #: Every difference modulo 13 is one of two members of {0, 1, 3, 9}.
@@ -201,7 +201,7 @@ def _joined(docs: DataFrame, width: int) -> DataFrame:
     ship(docs.sparkSession)
     base = keyed(docs, KEY)
     # both joins take the same columns, so that the texts are shuffled once
-    gone = repeats(base, candidates(base, width, PERIOD, COVER, ANCHOR), width)
+    gone = repeats(base, materialize(candidates(base, width, PERIOD, COVER, ANCHOR)), width)
     return base.join(gone, base[KEY] == gone["__k"], "left").drop("__k", KEY)
 
 
