@@ -1,0 +1,176 @@
+"""Queries that one SQL text expresses for Spark and DuckDB alike.
+
+They are single statements over the fixtures, so Catalyst sees the whole plan.
+"""
+
+from __future__ import annotations
+
+FIRST = """x AS (SELECT *, min(idx) OVER (PARTITION BY client_id, request_id, CASE WHEN client_id <> '' AND request_id <> 0 THEN 0 ELSE idx END) AS first_idx FROM kv_log),
+e AS (SELECT *, CASE WHEN op = 4 THEN '_checkpoint/' || client_id ELSE k END AS key FROM x WHERE idx = first_idx)"""
+WRITES = FIRST + ", w AS (SELECT idx, key, v FROM e WHERE op IN (2, 4))"
+LIVE = """rw AS (SELECT *, min(CASE WHEN tag = 3 THEN index_or_from END) OVER (PARTITION BY node_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cut FROM raft_wal),
+live AS (SELECT node_id, index_or_from AS log_index, term FROM rw WHERE tag = 2 AND (cut IS NULL OR cut > index_or_from))"""
+MATCH = """t AS (SELECT tick, max(last_index) AS last_index, max(term) AS term FROM match_progress_ticks GROUP BY tick),
+k AS (SELECT tick, match_index, row_number() OVER (PARTITION BY tick ORDER BY match_index DESC, node_id) AS r FROM match_progress_ticks),
+q AS (SELECT t.tick, t.term, t.last_index, k.match_index AS reached FROM t JOIN k ON t.tick = k.tick AND k.r = 4),
+own AS (SELECT q.tick, q.term, q.last_index, q.reached, min(t.tick) AS owner FROM q JOIN t ON t.last_index >= q.reached GROUP BY q.tick, q.term, q.last_index, q.reached),
+c AS (SELECT own.tick, own.term, own.last_index, CASE WHEN o.term = own.term THEN own.reached END AS advanced FROM own JOIN t o ON o.tick = own.owner),
+commits AS (SELECT tick, term, last_index, coalesce(max(advanced) OVER (ORDER BY tick), 0) AS commit_index FROM c)"""
+STATUS = """ns AS (SELECT tick, node_id, running, partitioned, running AND NOT partitioned AS alive,
+  CASE WHEN running AND NOT partitioned THEN reported_leader ELSE 0 END AS reported_leader,
+  running AND NOT partitioned AND is_leader AS is_leader,
+  CASE WHEN running AND NOT partitioned THEN term ELSE 0 END AS term,
+  CASE WHEN running AND NOT partitioned THEN commit_index ELSE 0 END AS commit_index FROM node_status_ticks),
+roll AS (SELECT tick, CAST(sum(CASE WHEN alive THEN 1 ELSE 0 END) AS BIGINT) AS alive, count(*) AS total,
+  coalesce(max(CASE WHEN is_leader THEN node_id END), max(CASE WHEN n1 = node_id THEN reported_leader END), 0) AS leader_id,
+  coalesce(max(CASE WHEN is_leader AND nl = node_id THEN term END), max(CASE WHEN n1 = node_id THEN term END), 0) AS term,
+  max(commit_index) AS max_commit
+  FROM (SELECT *, min(CASE WHEN reported_leader <> 0 THEN node_id END) OVER (PARTITION BY tick) AS n1, max(CASE WHEN is_leader THEN node_id END) OVER (PARTITION BY tick) AS nl FROM ns) z GROUP BY tick),
+health AS (SELECT tick, alive, total, alive > floor(total / 2) AS quorum, leader_id, term, max_commit FROM roll)"""
+RATE = """d AS (SELECT ts, tick, instance, is_leader, writes_total, CASE WHEN p IS NULL THEN 0 WHEN writes_total < p THEN writes_total ELSE writes_total - p END AS inc
+  FROM (SELECT *, lag(writes_total) OVER (PARTITION BY instance ORDER BY ts) AS p FROM metric_samples) z),
+r AS (SELECT tick, instance, sum(inc) / CAST(3600 AS DOUBLE) AS rate, max(is_leader) AS led FROM d GROUP BY tick, instance)"""
+
+
+def _for(condition: str, source: str, needed: int, partition: str = "") -> str:
+    """Ticks at which a condition has held for ``needed`` evaluations in a row."""
+    by = f"PARTITION BY {partition} " if partition else ""
+    lead = f"{partition}, " if partition else ""
+    return f"""g AS (SELECT {lead}tick, {condition} AS hit, sum(CASE WHEN {condition} THEN 0 ELSE 1 END) OVER ({by}ORDER BY tick) AS run FROM {source}),
+h AS (SELECT {lead}tick, hit, tick - min(CASE WHEN hit THEN tick END) OVER (PARTITION BY {lead}run) AS age FROM g)
+SELECT {lead}tick, hit AS pending, hit AND age >= {needed} AS firing FROM h"""
+
+
+def _histogram(bounds: list[float]) -> str:
+    rows = " UNION ALL ".join(f"SELECT CAST({b} AS DOUBLE) AS le" for b in bounds)
+    return f"""WITH b AS ({rows}), s AS (SELECT latency_seconds AS l, CAST(ceil(latency_seconds * 1e4) AS BIGINT) AS u FROM metric_samples),
+    c AS (SELECT {', '.join(f"CAST(sum(CASE WHEN l <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS c{i}" for i, b in enumerate(bounds))}, count(*) AS n, round(sum(l), 4) AS total FROM s)
+    SELECT le, CASE {' '.join(f"WHEN le = CAST({b} AS DOUBLE) THEN c{i}" for i, b in enumerate(bounds))} END AS cumulative, n, total FROM b, c"""
+
+
+CHANGES = "sum(CASE WHEN tag = 3 THEN 1 ELSE 0 END)"
+STATEMENTS: dict[str, str] = {
+    # command log
+    "kv_exactly_once": f"WITH {FIRST} SELECT idx, first_idx, idx <> first_idx AS duplicate FROM x",
+    "kv_put_previous": f"WITH {WRITES} SELECT idx, key, v, lag(v) OVER (PARTITION BY key ORDER BY idx) AS previous FROM w",
+    "kv_get": f"WITH {WRITES}, s AS (SELECT key, max_by(v, idx) AS val FROM w GROUP BY key) SELECT key, val, true AS found FROM s WHERE key IN ('k/0', 'k/1', 'k/36') UNION ALL SELECT 'k/none', NULL, false",
+    "kv_get_as_of": f"WITH {WRITES} SELECT p.key, max_by(w.v, w.idx) AS val FROM (SELECT DISTINCT key FROM w) p LEFT JOIN w ON w.key = p.key AND w.idx <= 500 GROUP BY p.key",
+    "kv_checkpoint": f"WITH {FIRST} SELECT key, max_by(v, idx) AS val FROM e WHERE op = 4 GROUP BY key",
+    "kv_read_checkpoint": f"WITH {FIRST} SELECT max_by(v, idx) AS val, count(*) > 0 AS found FROM e WHERE op = 4 AND key = '_checkpoint/u1'",
+    "kv_client_max_request": "SELECT idx, client_id, max(request_id) OVER (PARTITION BY client_id ORDER BY idx) AS max_request FROM kv_log",
+    "kv_recent_results": "SELECT idx, client_id, request_id FROM kv_log WHERE idx + 256 >= (SELECT max(idx) FROM kv_log)",
+    "kv_snapshot_points": "SELECT CAST(floor(idx / 256) AS BIGINT) AS generation, max(idx) AS snapshot_idx FROM kv_log WHERE idx % 256 = 0 GROUP BY floor(idx / 256)",
+    "kv_snapshot": f"WITH {WRITES}, s AS (SELECT key, max_by(v, idx) AS val FROM w WHERE idx <= 512 GROUP BY key), t AS (SELECT count(*) AS pairs, max(request_id) AS top FROM x WHERE idx = first_idx AND request_id <> 0 AND idx <= 512) SELECT key, val, pairs, top FROM s, t",
+    "kv_recover": f"WITH {WRITES}, snap AS (SELECT key, max_by(v, idx) AS v FROM w WHERE idx <= 512 GROUP BY key), u AS (SELECT 0 AS idx, key, v FROM snap UNION ALL SELECT idx, key, v FROM w WHERE idx > 512) SELECT key, max_by(v, idx) AS val FROM u GROUP BY key",
+    "kv_state": f"WITH {WRITES} SELECT key, max_by(v, idx) AS val FROM w GROUP BY key",
+    "apply_counters": "SELECT count(*) AS applies, CAST(sum(CASE WHEN op IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS writes, CAST(sum(CASE WHEN op = 1 THEN 1 ELSE 0 END) AS BIGINT) AS log_reads FROM kv_log",
+    "propose_latency": "SELECT p.idx, a.idx - p.idx AS later, p.client_id FROM kv_log p JOIN kv_log a ON a.idx = p.idx + p.op",
+    "wait_applied": "SELECT w.target, min(l.ts) AS applied_at FROM (SELECT 10 AS target UNION ALL SELECT 100 UNION ALL SELECT 500) w JOIN kv_log l ON l.idx >= w.target GROUP BY w.target",
+    "leader_try_order": "SELECT node_id, row_number() OVER (ORDER BY CASE WHEN node_id = 5 THEN 0 ELSE 1 END, node_id) AS attempt FROM (SELECT DISTINCT node_id FROM raft_wal) n",
+    # storage
+    "storage_state": "SELECT k, val FROM (SELECT k, max_by(op, seq) AS op, max_by(v, seq) AS val FROM storage_log GROUP BY k) s WHERE op = 1",
+    "storage_len": "SELECT count(*) AS live FROM (SELECT k, max_by(op, seq) AS op FROM storage_log GROUP BY k) s WHERE op = 1",
+    # replicated log
+    "raft_recover": f"WITH {LIVE} SELECT node_id, log_index, term FROM live",
+    "log_bounds": f"WITH {LIVE} SELECT node_id, min(log_index) AS first_index, max(log_index) AS last_index, max_by(term, log_index) AS last_term FROM live GROUP BY node_id",
+    "log_term_at": f"WITH {LIVE}, p AS (SELECT DISTINCT node_id FROM live) SELECT p.node_id, i.at, l.term, l.term IS NOT NULL AS available FROM p JOIN (SELECT 1 AS at UNION ALL SELECT 90 UNION ALL SELECT 1000000) i ON true LEFT JOIN live l ON l.node_id = p.node_id AND l.log_index = i.at",
+    "log_suffix": f"WITH {LIVE} SELECT node_id, log_index, term FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY log_index) AS r FROM live WHERE log_index >= 50) z WHERE r <= 64",
+    "log_truncate": f"WITH {LIVE}, f AS (SELECT node_id, min(log_index) AS lo FROM live GROUP BY node_id) SELECT l.node_id, l.log_index, l.term FROM live l JOIN f ON f.node_id = l.node_id WHERE l.log_index < greatest(100, f.lo)",
+    "log_first_of_term": f"WITH {LIVE} SELECT node_id, term, min(log_index) AS first_index FROM live GROUP BY node_id, term",
+    "log_last_of_term": f"WITH {LIVE} SELECT node_id, term, max(log_index) AS last_index FROM live GROUP BY node_id, term",
+    "log_compact": f"WITH {LIVE} SELECT node_id, log_index, term, log_index = 60 AS sentinel FROM live WHERE log_index >= 60",
+    "raft_compact": f"WITH {LIVE}, m AS (SELECT node_id, greatest(max(log_index) - 64, 0) AS cut FROM live GROUP BY node_id) SELECT l.node_id, l.log_index, l.term, m.cut FROM live l JOIN m ON m.node_id = l.node_id WHERE l.log_index > m.cut",
+    "log_merge": f"""WITH {LIVE}, a AS (SELECT log_index, term FROM live WHERE node_id = 1), b AS (SELECT log_index, CASE WHEN log_index > 120 THEN term + 1 ELSE term END AS term FROM live WHERE node_id = 2),
+      m AS (SELECT min(b.log_index) AS at FROM a JOIN b ON a.log_index = b.log_index WHERE a.term <> b.term), z AS (SELECT max(log_index) AS last_index FROM a)
+      SELECT a.log_index, a.term, 'kept' AS origin FROM a, m WHERE m.at IS NULL OR a.log_index < m.at
+      UNION ALL SELECT b.log_index, b.term, 'incoming' FROM b, m, z WHERE b.log_index >= coalesce(m.at, z.last_index + 1)""",
+    "append_conflict": f"""WITH {LIVE}, b AS (SELECT node_id, min(log_index) AS lo, max(log_index) AS hi FROM live GROUP BY node_id),
+      req AS (SELECT node_id, log_index AS prev, CASE WHEN log_index % 7 = 0 THEN term + 1 ELSE term END AS prev_term FROM live WHERE log_index % 5 = 0 UNION ALL SELECT node_id, hi + 10, 1 FROM b),
+      f AS (SELECT node_id, term, min(log_index) AS lo FROM live GROUP BY node_id, term)
+      SELECT r.node_id, r.prev, r.prev_term, CASE WHEN r.prev > b.hi THEN 'short' WHEN l.term <> r.prev_term THEN 'conflict' ELSE 'ok' END AS outcome,
+        CASE WHEN r.prev > b.hi THEN b.hi + 1 WHEN l.term <> r.prev_term THEN f.lo END AS hint_index, CASE WHEN r.prev <= b.hi AND l.term <> r.prev_term THEN l.term END AS hint_term
+      FROM req r JOIN b ON b.node_id = r.node_id LEFT JOIN live l ON l.node_id = r.node_id AND l.log_index = r.prev LEFT JOIN f ON f.node_id = r.node_id AND f.term = l.term""",
+    "commit_index": f"WITH {MATCH} SELECT tick, term, last_index, commit_index FROM commits",
+    "follower_commit": f"WITH {MATCH} SELECT m.tick, m.node_id, CASE WHEN c.commit_index > m.match_index - 5 THEN least(c.commit_index, greatest(m.match_index, m.match_index - 5)) ELSE m.match_index - 5 END AS follower_commit FROM match_progress_ticks m JOIN commits c ON c.tick = m.tick",
+    "match_progress": "SELECT tick, node_id, max(match_index) OVER (PARTITION BY node_id ORDER BY tick) AS match_index, max(match_index) OVER (PARTITION BY node_id ORDER BY tick) + 1 AS next_index, max(match_index) OVER (PARTITION BY node_id ORDER BY tick) + 1 <= last_index AS behind FROM match_progress_ticks",
+    "next_index_repair": f"""WITH {LIVE}, l AS (SELECT term, max(log_index) AS hi FROM live WHERE node_id = 1 GROUP BY term), h AS (SELECT DISTINCT term AS hint_term, min(log_index) OVER (PARTITION BY term) AS hint_index FROM live WHERE node_id = 2)
+      SELECT h.hint_term, h.hint_index, greatest(coalesce(l.hi + 1, h.hint_index, 1), 1) AS next_index FROM h LEFT JOIN l ON l.term = h.hint_term""",
+    "replication_plan": "SELECT tick, node_id, CASE WHEN match_index + 1 <= last_index - 20 THEN 'snapshot' WHEN match_index < last_index THEN 'entries' ELSE 'heartbeat' END AS plan, least(last_index - match_index, 64) AS entries FROM match_progress_ticks",
+    "install_snapshot": f"WITH {LIVE}, s AS (SELECT 100 AS at, 80 AS committed) SELECT l.node_id, l.log_index, l.term FROM live l, s WHERE s.at <= s.committed OR l.log_index > s.at",
+    "check_quorum": "SELECT tick, CAST(1 + sum(CASE WHEN node_id <> 1 AND last_index - match_index < 15 THEN 1 ELSE 0 END) AS BIGINT) AS active, 1 + sum(CASE WHEN node_id <> 1 AND last_index - match_index < 15 THEN 1 ELSE 0 END) >= 4 AS quorum FROM match_progress_ticks GROUP BY tick",
+    "read_quorum": "SELECT tick, term, CAST(1 + sum(CASE WHEN node_id <> 1 AND match_index > 0 AND (tick + node_id) % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS acks, 1 + sum(CASE WHEN node_id <> 1 AND match_index > 0 AND (tick + node_id) % 3 <> 0 THEN 1 ELSE 0 END) >= 4 AS confirmed FROM match_progress_ticks GROUP BY tick, term",
+    # elections
+    "vote_up_to_date": "SELECT event_id, cand_last_term > voter_last_term OR cand_last_term = voter_last_term AND cand_last_index >= voter_last_index AS up_to_date FROM vote_requests",
+    "pre_vote": "SELECT event_id, term > floor(event_id / 45) AND event_id % 11 <> 0 AND (cand_last_term > voter_last_term OR cand_last_term = voter_last_term AND cand_last_index >= voter_last_index) AS granted FROM vote_requests",
+    "election_backoff_bounds": "SELECT attempts, 750 AS low_ms, 750 + 750 * CAST(pow(2, least(attempts, 3)) AS BIGINT) AS high_ms FROM (SELECT DISTINCT event_id % 6 AS attempts FROM vote_requests) a",
+    # telemetry
+    "gauge_latest": "SELECT instance, max_by(is_leader, ts) AS is_leader, max_by(writes_total, ts) AS writes_total FROM metric_samples GROUP BY instance",
+    "latency_histogram": _histogram([0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]),
+    "role_int": "SELECT DISTINCT role, CASE role WHEN 'follower' THEN 0 WHEN 'candidate' THEN 1 WHEN 'leader' THEN 2 ELSE -1 END AS code FROM (SELECT CASE WHEN is_leader THEN 'leader' WHEN partitioned THEN 'candidate' WHEN running THEN 'follower' ELSE 'gone' END AS role FROM node_status_ticks) z",
+    "sampled_gauges": "SELECT tick, instance, max_by(is_leader, ts) AS is_leader, max_by(writes_total, ts) AS writes_total FROM metric_samples GROUP BY tick, instance",
+    "writes_per_sec": f"WITH {RATE} SELECT tick, round(sum(rate), 6) AS rate FROM r WHERE led = 1 GROUP BY tick",
+    "reads_per_sec": f"WITH {RATE} SELECT tick, round(sum(rate) * 2, 6) AS rate FROM r WHERE led = 1 AND instance <> 3 GROUP BY tick",
+    "applies_per_sec": f"WITH {RATE} SELECT tick, round(sum(rate), 6) AS rate, sum(rate) < 0.0005 AS low FROM r GROUP BY tick",
+    "stepdowns_total": "SELECT CAST(sum(s) AS BIGINT) AS stepdowns FROM (SELECT instance, max_by(writes_total, ts) AS s FROM metric_samples GROUP BY instance) z",
+    "host_cpu_busy": f"WITH {RATE} SELECT tick, round(100 * (1 - avg(rate)), 4) AS busy FROM r GROUP BY tick HAVING avg(rate) IS NOT NULL",
+    "host_mem_used": "SELECT tick, CASE WHEN total IS NULL OR avail IS NULL OR total <= 0 THEN 0.0 ELSE greatest(0.0, total - avail) END AS used FROM (SELECT tick, max(latency_seconds) AS total, min(CASE WHEN instance <> 2 THEN latency_seconds END) AS avail FROM metric_samples GROUP BY tick) z",
+    "series_select": "SELECT tick, instance, max(is_leader) AS is_leader, max(writes_total) AS writes_total, count(*) AS samples FROM metric_samples WHERE instance <= 4 GROUP BY tick, instance",
+    "metrics_unpivot": "SELECT ts, instance, 'writes_total' AS metric, CAST(writes_total AS DOUBLE) AS val FROM metric_samples UNION ALL SELECT ts, instance, 'is_leader', CAST(is_leader AS DOUBLE) FROM metric_samples UNION ALL SELECT ts, instance, 'latency_seconds', latency_seconds FROM metric_samples",
+    "alert_no_progress": f"WITH {RATE}, a AS (SELECT tick, sum(rate) < 0.001 AS idle FROM r GROUP BY tick), {_for('idle', 'a', 3)}",
+    "alert_leader_stuck": f"WITH {RATE}, a AS (SELECT tick, max(led) = 1 AND sum(rate) < 0.0015 AS stuck FROM r GROUP BY tick), {_for('stuck', 'a', 2)}",
+    "alert_watchdog": """WITH s AS (SELECT DISTINCT instance, tick, CAST(floor(tick / 50) + instance AS BIGINT) AS n FROM metric_samples),
+      c AS (SELECT *, CASE WHEN n <> lag(n) OVER (PARTITION BY instance ORDER BY tick) THEN 1 ELSE 0 END AS changed FROM s)
+      SELECT instance, tick, sum(changed) OVER (PARTITION BY instance ORDER BY tick RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) > 0 AS firing FROM c""",
+    # health
+    "node_status": f"WITH {STATUS} SELECT tick, node_id, running, partitioned, reported_leader, is_leader, term, commit_index FROM ns",
+    "cluster_rollup": f"WITH {STATUS} SELECT tick, alive, total, quorum, leader_id, term, max_commit FROM health",
+    "since_quorum_loss": f"""WITH {STATUS}, e AS (SELECT tick, quorum, CASE WHEN NOT quorum AND coalesce(lag(quorum) OVER (ORDER BY tick), true) THEN tick END AS lost FROM health)
+      SELECT tick, quorum, coalesce(tick - max(lost) OVER (ORDER BY tick), -1) AS since FROM e""",
+    "commit_stall": f"""WITH {STATUS}, a AS (SELECT tick, quorum, max_commit <= coalesce(lag(max_commit) OVER (ORDER BY tick), -1) AND leader_id <> 0 AS stuck FROM health), {_for('stuck AND quorum', 'a', 5)}""",
+    "role_transitions": f"""WITH {STATUS}, r AS (SELECT tick, node_id, CASE WHEN is_leader THEN 'leader' WHEN alive THEN 'follower' ELSE 'gone' END AS role FROM ns)
+      SELECT tick, node_id, was, role FROM (SELECT *, lag(role) OVER (PARTITION BY node_id ORDER BY tick) AS was FROM r) z WHERE was <> role""",
+    "reconcile_plan": f"WITH {STATUS}, heal AS (SELECT DISTINCT tick, node_id FROM ns WHERE (tick + node_id) % 4 = 0) SELECT n.tick, n.node_id, CASE WHEN NOT n.running THEN 'start' ELSE 'reconnect' END AS action FROM ns n LEFT JOIN heal h ON h.tick = n.tick AND h.node_id = n.node_id WHERE h.node_id IS NULL AND (NOT n.running OR n.partitioned)",
+    "heal_due": "SELECT node_id, max(tick) AS scheduled, greatest(0, max(tick) + 30 - (SELECT max(tick) FROM node_status_ticks)) AS due_in FROM node_status_ticks WHERE NOT running AND node_id <> 4 GROUP BY node_id",
+    "node_badge": f"WITH {STATUS} SELECT tick, node_id, CASE WHEN NOT running THEN 'down' WHEN partitioned THEN 'partitioned' WHEN is_leader THEN 'leader' ELSE 'follower' END AS badge, running AND NOT partitioned AS killable FROM ns",
+    "mesh_edges": f"""WITH {STATUS}, p AS (SELECT tick, node_id, row_number() OVER (PARTITION BY tick ORDER BY node_id) AS pos, count(*) OVER (PARTITION BY tick) AS n FROM ns WHERE alive)
+      SELECT a.tick, a.node_id AS node_a, b.node_id AS node_b FROM p a JOIN p b ON a.tick = b.tick AND a.pos < b.pos WHERE a.n <= 3 OR least(b.pos - a.pos, a.n - (b.pos - a.pos)) <= 2""",
+    "ring_layout": f"""WITH {STATUS}, p AS (SELECT tick, node_id, row_number() OVER (PARTITION BY tick ORDER BY node_id) - 1 AS pos, count(*) OVER (PARTITION BY tick) AS n FROM ns WHERE alive)
+      SELECT tick, node_id, round(cos(2 * pi() * pos / n), 6) + 0.0 AS x, round(sin(2 * pi() * pos / n), 6) + 0.0 AS y FROM p""",
+    "pending_kill_overlay": f"WITH {STATUS}, k AS (SELECT DISTINCT tick, node_id FROM ns WHERE (tick + node_id) % 5 = 0) SELECT n.tick, CAST(sum(CASE WHEN n.alive AND k.node_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS alive, sum(CASE WHEN n.alive AND k.node_id IS NULL THEN 1 ELSE 0 END) > 3 AS quorum FROM ns n LEFT JOIN k ON k.tick = n.tick AND k.node_id = n.node_id GROUP BY n.tick",
+    "event_ring": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 64",
+    "feed_top12": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 12",
+    # control plane
+    "active_viewers": """WITH p AS (SELECT event_id, ts, sum(delta) OVER (ORDER BY ts, event_id) AS s FROM presence_events)
+      SELECT event_id, CAST(s - least(0, min(s) OVER (ORDER BY ts, event_id)) AS BIGINT) AS viewers FROM p""",
+    "throughput_report": "SELECT tick, ok + fail AS total, (ok + fail) - lag(ok + fail) OVER (ORDER BY tick) AS change FROM load_ticks",
+    "loadgen_log": "SELECT event_id % 4 AS worker, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS n, 'load/' || CAST(event_id % 10000 AS STRING) AS key, CAST(event_id AS STRING) AS val FROM events",
+    "client_ip": "SELECT event_id, CASE WHEN forwarded <> '' THEN trim(split_part(forwarded, ',', 1)) ELSE split_part(remote, ':', 1) END AS ip FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ' 10.1.' || CAST(user_id % 9 AS STRING) || '.7 , 9.9.9.9' ELSE '' END AS forwarded, '10.2.0.' || CAST(user_id % 50 AS STRING) || ':443' AS remote FROM events) z",
+    "route_parse": """WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '/api/nodes/3/kill' WHEN 1 THEN '/api/nodes/x/kill' WHEN 2 THEN '/api/nodes/4/dance' WHEN 3 THEN '/api/nodes/5' ELSE '/api/nodes/' || CAST(user_id AS STRING) || '/restart' END AS path FROM events),
+      s AS (SELECT event_id, try_cast(split_part(path, '/', 4) AS BIGINT) AS id, split_part(path, '/', 5) AS action FROM p)
+      SELECT event_id, id, action, CASE WHEN id IS NULL OR action NOT IN ('kill', 'restart', 'partition', 'reset') THEN 400 ELSE 200 END AS code FROM s""",
+    "parse_peers": """WITH t AS (SELECT ' 1=a:7001, 2=b:7002,, 3=c:7003 ,bad' AS spec), i AS (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5),
+      e AS (SELECT n, trim(split_part(spec, ',', n)) AS item FROM t, i)
+      SELECT n, try_cast(split_part(item, '=', 1) AS BIGINT) AS id, split_part(item, '=', 2) AS addr, item LIKE '%=%' AS ok FROM e WHERE item <> ''""",
+}
+# kv_get_as_of, kv_state and their like leave compare-and-swap out; kv_apply folds it in
+
+AUDIT = f"""WITH {STATUS}, a AS (SELECT tick, quorum, leader_id, term, max_commit, tick % 7 <> 0 AS readable, CAST(floor(tick / 50) AS BIGINT) AS stepdowns,
+    lag(quorum) OVER (ORDER BY tick) AS was_quorum, lag(leader_id) OVER (ORDER BY tick) AS was_leader, lag(max_commit) OVER (ORDER BY tick) AS was_commit, row_number() OVER (ORDER BY tick) AS n FROM health),
+  b AS (SELECT *, sum(CASE WHEN was_commit IS NULL OR max_commit <> was_commit THEN 1 ELSE 0 END) OVER (ORDER BY tick) AS run,
+    max(CASE WHEN readable THEN stepdowns END) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM a),
+  c AS (SELECT *, tick - min(tick) OVER (PARTITION BY run) >= 6 AND quorum AND leader_id <> 0 AS frozen FROM b),
+  d AS (SELECT *, frozen AND row_number() OVER (PARTITION BY run, frozen ORDER BY tick) = 1 AS stalled, max(CASE WHEN frozen THEN 1 ELSE 0 END) OVER (PARTITION BY run) AS had FROM c),
+  e AS (SELECT *, lag(had) OVER (ORDER BY tick) AS had_before FROM d)
+  SELECT tick, 0 AS ord, 'controlplane_started' AS event FROM e WHERE n = 1
+  UNION ALL SELECT tick, 1, CASE WHEN quorum THEN 'quorum_regained' ELSE 'quorum_lost' END FROM e WHERE n > 1 AND quorum <> was_quorum
+  UNION ALL SELECT tick, 2, 'leader_changed' FROM e WHERE n > 1 AND leader_id <> 0 AND leader_id <> was_leader
+  UNION ALL SELECT tick, 3, 'progress_resumed' FROM e WHERE n > 1 AND max_commit <> was_commit AND had_before = 1
+  UNION ALL SELECT tick, 3, 'progress_stalled' FROM e WHERE n > 1 AND stalled
+  UNION ALL SELECT tick, 4, 'watchdog_stepdown' FROM e WHERE n > 1 AND readable AND known IS NOT NULL AND stepdowns > known"""
+STATEMENTS["audit_events"] = AUDIT
+STATEMENTS["audit_tail"] = f"SELECT tick, ord, event FROM ({AUDIT}) t ORDER BY tick DESC, ord DESC LIMIT 200"
+STATEMENTS["snapshot_json"] = f"WITH {STATUS} SELECT tick, '{{\"alive\":' || CAST(alive AS STRING) || ',\"leader\":' || CAST(leader_id AS STRING) || '}}' AS body FROM health"
+STATEMENTS["vote_grants"] = """WITH v AS (SELECT *, max(term) OVER (PARTITION BY voter_id ORDER BY event_id) AS seen, cand_last_term > voter_last_term OR cand_last_term = voter_last_term AND cand_last_index >= voter_last_index AS fresh FROM vote_requests),
+  f AS (SELECT voter_id, term, min_by(candidate_id, event_id) AS chosen FROM v WHERE term >= seen AND fresh GROUP BY voter_id, term)
+  SELECT v.event_id, v.term, v.voter_id, v.candidate_id, v.term >= v.seen AND v.fresh AND f.chosen = v.candidate_id AS granted FROM v LEFT JOIN f ON f.voter_id = v.voter_id AND f.term = v.term"""
+STATEMENTS["election_tally"] = f"SELECT term, candidate_id, count(DISTINCT voter_id) + 1 AS votes, count(DISTINCT voter_id) + 1 >= 4 AS won FROM ({STATEMENTS['vote_grants']}) g WHERE coalesce(granted, false) AND voter_id <> candidate_id GROUP BY term, candidate_id"
