@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words handled at once in a Python worker; bounds its memory.
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 400_000
 U64 = np.uint64
 
 
@@ -106,12 +106,20 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             stop = max(start + 1, int(np.searchsorted(sizes, before + 6 * WORDS_AT_ONCE, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
+
+
+def fresh(texts: pa.Array) -> pa.Array:
+    """The texts, null as empty, in buffers of their own: Arrow's ascii_lower
+    misreads a slice that was cast to large_string."""
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    return pc.fill_null(texts, "")
 
 
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and where each text's words begin
     (len(texts) + 1 offsets). Null has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = fresh(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]

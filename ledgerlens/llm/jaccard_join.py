@@ -3,23 +3,23 @@
 Documents are sets of hashed word shingles; two link if their Jaccard similarity
 is at least ``num / den``.
 
-1. Counts of shingle hashes over all documents, in a fixed number of counters,
-   give an order from rare to frequent. (Any order gives right results.)
-2. Equal sets collapse to the smallest document.
-3. Linked sets share a token of their prefixes: the first n - ceil(t n) + 1
-   tokens in that order. Documents under one token form a block; sorted by size,
-   neighbours whose sizes could link are chained. The chains' connected
-   components are candidate families: linked documents are always in one family.
-   Chains, not pairs, so a block of any size costs its length; tasks chain what
-   they see before the shuffle.
-4. Each family gets a signature tree: documents with similar signatures side by
+1. Equal sets are one set, that of the smallest document.
+2. Every set is dealt by hash to so many buckets that two sets that link have an
+   equal one (see ``bucket_keys``: this holds for all of them, not most).
+   Documents with an equal bucket form a block; sorted by size, neighbours whose
+   sizes could link are chained. The chains' connected components are candidate
+   families: linked documents are always in one family. Chains, not pairs, so a
+   block of any size costs its length; tasks chain what they see before the
+   shuffle. A bucket holds three shingles or more, so passages that many documents
+   share rarely tie them together.
+3. Each family gets a signature tree: documents with similar signatures side by
    side, nodes with the OR of their token bitmaps and their range of sizes. A dual
    traversal drops node pairs whose largest possible overlap is too small, or
    that are one component already, and compares the sets of surviving pairs
    exactly. Families beyond ``FAMILY`` shingles are cut into parts, and every
    pair of parts is a task of its own.
 
-Only the counters (1 MB) reach the driver; components are found with joins.
+Nothing is collected; components are found with joins.
 
 Defined cases: null texts and texts without words have no shingles and link with
 nothing; texts shorter than the shingle are one shingle, their whole word
@@ -29,6 +29,9 @@ sequence; rows of the same id and text are one document, null ids come last (see
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,6 @@ from pyspark.sql import functions as F
 from .common import U64, ids_are_keys, keyed, materialize, mix, ship, sorted_groups, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
 from .substring_dedup import Pool, signed
 
-COUNTER_BITS = 18
 FAMILY = 2_000_000
 ROWS_AT_ONCE = 1_500_000
 LEAF, BITS = 8, 2048
@@ -63,64 +65,111 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(len(sizes) + 1))
 
 
-def shingle_counters(docs: DataFrame, k: int) -> np.ndarray:
-    """How many sets have a shingle of each counter."""
-    wide = 1 << 12
-
-    def count(batches):
-        sums = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for part in text_slices([batch]):
-                grams, _ = shingle_sets(part.column("text"), k)
-                sums += np.bincount((grams >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(sums))
-        for block, part in enumerate(sums.reshape(-1, wide)):
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": [part.astype(np.uint32).tobytes()]})
-
-    def add(groups):
-        for group in sorted_groups(groups, ["block"]):
-            blocks = group.column("block").to_numpy()
-            for b in np.unique(blocks):
-                total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in group.column("sums").filter(pa.array(blocks == b)))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "sums": [total.tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "block int, sums binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, sums binary")
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in rows.collect():
-        out[r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["sums"], np.int64)
-    return out
-
-
-def rarity(counters: np.ndarray) -> np.ndarray:
-    """0 for usual counters, then one more for each doubling."""
-    mean = max(1.0, counters.mean())
-    return np.clip(np.log2(np.maximum(counters, 1) / mean).round(), 0, 15).astype(np.uint8)
+def size_classes(num: int, den: int) -> np.ndarray:
+    """Exclusive upper ends of classes of sizes, such that sets that can link are
+    of the same class or of neighbours."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, (out[-1] - 1) * den // num + 1))
+    return np.array(out, np.int64)
+
+
+@lru_cache
+def bucket_plan(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By size class: its exclusive end, how many buckets, and how many shingles
+    a bucket must hold to be used. As many buckets as let nearly every set have
+    more usable ones than two linked sets can differ in."""
+    ends = size_classes(num, den)
+    buckets, least = np.ones(len(ends), np.int64), np.where(ends < 25, 2, 3)
+    for i, top in enumerate(ends - 1):
+        differ = 2 * (den - num) * int(top) // (den + num)
+        best = None
+        for m in sorted({differ + 1 + math.ceil(differ * x / 20) for x in range(25)} | {differ + 1, differ + 2}):
+            rate = top / m
+            poor = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(least[i]))
+            margin = m * (1 - poor) - differ - 1 - 3 * math.sqrt(m * poor * (1 - poor))
+            if best is None or margin > best[0]:
+                best = margin, m
+            if margin >= 0:
+                break
+        buckets[i] = best[1]
+    return ends, buckets, least
+
+
+def bucket_keys(grams: np.ndarray, at: np.ndarray, num: int, den: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each set such that sets that link share one; (row, key).
+
+    Under the class of the larger, a set of n and any set that it links with
+    differ in at most d = (den - num) (n + the other's size) / (den + num) shingles.
+    Shingles are dealt to buckets by hash. If a set has more than d usable
+    buckets (of enough shingles), one of them is the same in the other set, so
+    the hash of what it holds, each set being keyed under its own class and the
+    next, is a shared key. A set that lacks usable buckets is dealt again by other
+    hashes, up to ``rounds`` times, and is at last keyed by its prefix, the
+    n - ceil(t n) + 1 smallest hashes. Of two linked sets either one is not lacking in
+    a round that both enter, or both come to the prefixes, which then share one.
+    """
+    ends, buckets, least = bucket_plan(num, den)
+    n = np.diff(at)
+    own = np.searchsorted(ends, n, side="right")
+    rows, keys = [], []
+    for step in (0, 1):
+        row = np.repeat(np.arange(len(n)), n)
+        part = grams
+        differ = (den - num) * (n + np.minimum(n * den // num, ends[own + step] - 1)) // (den + num)
+        enter = differ > 0  # else only equal sets link
+        for turn in range(rounds + 1):
+            if not enter.any():
+                break
+            keep = enter[row]
+            row, part = row[keep], part[keep]
+            label = (own + step)[row]
+            if turn == rounds:
+                local = np.arange(len(row)) - np.searchsorted(row, row)
+                use = local < (n + (-num * n // den) + 1)[row]
+                rows.append(row[use])
+                keys.append(mix(part[use] ^ U64(0x9FB21C651E98DF25) ^ label[use].astype(U64)))
+                break
+            deal = mix(part ^ U64(0xD1B54A32D192ED03 + turn))
+            b = ((deal >> U64(32)) * buckets[label].astype(U64)) >> U64(32)
+            place = (row.astype(U64) << U64(32)) | b
+            order = np.argsort(place, kind="stable")
+            place, deal = place[order], deal[order]
+            head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            size = np.diff(np.concatenate([head, [len(place)]]))
+            total = np.add.reduceat(mix(deal), head)
+            r = (place[head] >> U64(32)).astype(np.int64)
+            good = size >= least[(own + step)[r]]
+            r, total, bucket = r[good], total[good], place[head][good] & U64(0xFFFFFFFF)
+            name = ((own + step)[r].astype(U64) << U64(40)) + (U64(turn) << U64(36)) + bucket
+            rows.append(r)
+            keys.append(mix(total + mix(name ^ U64(0x13198A2E03707344))))
+            enter = enter & (np.bincount(r, minlength=len(n)) <= differ)
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, U64)
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], keys[order]
 
 
 def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs(__key, doc_id, text): __key, doc_id, n, f1, f2, prefix."""
-    rank = docs.sparkSession.sparkContext.broadcast(rarity(shingle_counters(docs, k)))
+    """docs(__key, doc_id, text): __key, doc_id, n, f1, f2, keys."""
 
     def run(batches):
-        order = rank.value
         for batch in batches:
             for part in text_slices([batch]):
                 grams, at = shingle_sets(part.column("text"), k)
                 n = np.diff(at)
-                row = np.repeat(np.arange(len(n)), n)
-                tokens = (order[(grams >> U64(64 - COUNTER_BITS)).astype(np.int64)].astype(U64) << U64(60)) | (grams & U64((1 << 60) - 1))
-                tokens = tokens[np.lexsort((tokens, row))]
-                length = np.where(n > 0, n + (-num * n // den) + 1, 0)
-                first = np.arange(len(tokens)) - at[:-1][row] < length[row]
+                rows, keys = bucket_keys(grams, at, num, den)
                 sums = []
                 for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(grams ^ U64(salt)), dtype=U64)])
                     sums.append(pa.array(signed(total[at[1:]] - total[at[:-1]])))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(signed(tokens[first])))
-                yield pa.RecordBatch.from_arrays([part.column(KEY), part.column("doc_id"), pa.array(n.astype(np.int32)), *sums, lists], [KEY, "doc_id", "n", "f1", "f2", "prefix"])
+                lists = pa.ListArray.from_arrays(np.searchsorted(rows, np.arange(len(n) + 1)).astype(np.int32), pa.array(signed(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(KEY), part.column("doc_id"), pa.array(n.astype(np.int32)), *sums, lists], [KEY, "doc_id", "n", "f1", "f2", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id {kind}, n int, f1 long, f2 long, prefix array<long>")
+    return docs.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id {kind}, n int, f1 long, f2 long, keys array<long>")
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +204,8 @@ def _chains(t, lo, hi, key, num, den):
     return (key[head][chain[rest]], key[rest]), (t[head], lo[head], reach[ends], key[head])
 
 
-def families(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """prefixes(__key, n, prefix): edges (a, b) that hold each family together."""
+def families(keyed_sets: DataFrame, num: int, den: int) -> DataFrame:
+    """keyed_sets(__key, n, keys): edges (a, b) that hold each family together."""
 
     def rows(t, lo, hi, k, b):
         return pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(k), pa.array(b)], ["t", "lo", "hi", "k", "b"])
@@ -173,7 +222,7 @@ def families(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     def emit(batches):
         pool = Pool(ROWS_AT_ONCE)
         for batch in batches:
-            lists = batch.column("prefix")
+            lists = batch.column("keys")
             sizes = np.diff(lists.offsets.to_numpy())
             key, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (KEY, "n"))
             if pool.add(lists.flatten().to_numpy(), n, key):
@@ -182,28 +231,37 @@ def families(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             yield from settled(pool)
 
     def meet(batches):
+        pool = Pool(ROWS_AT_ONCE)
+
+        def joined():
+            names, root = stars(*pool.take())
+            return pa.RecordBatch.from_arrays([pa.array(root[names != root]), pa.array(names[names != root])], ["a", "b"])
+
         for group in sorted_groups(batches, ["t"]):
             t, lo, hi, k, b = (group.column(c).to_numpy() for c in ("t", "lo", "hi", "k", "b"))
             edge = lo < 0
             (x, y), _ = _chains(t[~edge].view(U64), lo[~edge], hi[~edge], k[~edge], num, den)
             x, y = np.concatenate([x, k[edge]]), np.concatenate([y, b[edge]])
-            if len(x):
-                names, root = stars(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(root[names != root]), pa.array(names[names != root])], ["a", "b"])
+            if len(x) and pool.add(x, y):
+                yield joined()
+        if pool.rows:
+            yield joined()
 
-    out = prefixes.select(KEY, "n", "prefix").mapInArrow(emit, "t long, lo int, hi int, k long, b long")
-    return out.repartition("t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
+    out = keyed_sets.select(KEY, "n", "keys").mapInArrow(emit, "t long, lo int, hi int, k long, b long")
+    # a document is named once by each task that has links of it, so few tasks; they
+    # stream what Spark has sorted, and need no more memory for that
+    wide = max(1, int(keyed_sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return out.repartition(wide, "t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b): (v, root) for every end, root being the smallest reachable.
-    Labels fall to the smallest neighbour's, then to their label's label, until
-    none changes; every round is a table of its own."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root"))
-    labels = materialize(labels)
+def _labels(edges: DataFrame) -> DataFrame:
+    """edges(x, y): (v, root) for every end. Labels fall to the smallest
+    neighbour's, then to their label's label, until none changes; every round is a
+    table of its own."""
+    both = materialize(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
+    labels = materialize(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("m"))
+        near = both.join(labels.withColumnRenamed("v", "y"), "y").groupBy(F.col("x").alias("v")).agg(F.min("root").alias("m"))
         new = labels.join(near, "v").select("v", F.least("root", "m").alias("low"), F.col("root").alias("old"))
         # a label's own label is at most as large: two hops in one round
         up = new.select(F.col("v").alias("low"), F.col("low").alias("higher"))
@@ -213,6 +271,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "root")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b), a < b: (v, root) for every end, root being the smallest
+    reachable. Each b hangs on the smallest a it was seen with; what remains is a
+    small graph between those a, where labels travel."""
+    low = materialize(edges.where("a <> b").groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("seen")))
+    heads = low.select(F.explode("seen").alias("a")).distinct()
+    across = low.select(F.col("m").alias("x"), F.explode("seen").alias("y")).where("x <> y")
+    inner = low.join(heads, low["b"] == heads["a"], "left_semi").select(F.col("m").alias("x"), F.col("b").alias("y"))
+    labels = _labels(across.union(inner))
+    hung = low.select(F.col("b").alias("v"), F.col("m").alias("at"))
+    tops = heads.join(low.select("b"), heads["a"] == low["b"], "left_anti").select(F.col("a").alias("v"), F.col("a").alias("at"))
+    return hung.union(tops).join(labels.withColumnRenamed("v", "at"), "at", "left").select("v", F.coalesce("root", "at").alias("root"))
+
+
 class SignatureTree:
     """Sets in an order that puts like beside like, under nodes of two children."""
 
@@ -245,7 +317,10 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
     n = len(sets)
     order = sorted(range(n), key=lambda i: (sets[i][0] if len(sets[i]) else 0, len(sets[i])))
     tree = SignatureTree([sets[i] for i in order])
-    up = np.arange(n)
+    up = list(range(n))
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens = np.split(at, np.cumsum([len(x) for x in sets])[:-1])
+    held = np.zeros((LEAF, len(names)), bool)  # tokens of one leaf's sets
 
     def find(i: int) -> int:
         while up[i] != i:
@@ -271,20 +346,24 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
             continue
         if c1 is None and c2 is None:
             for i in range(a1, b1):
-                for j in range(max(a2, i + 1) if x == y else a2, b2):
-                    p, q = order[i], order[j]
-                    if part is not None and part[p] == part[q]:
-                        continue
-                    s, t = tree.sizes[i], tree.sizes[j]
-                    if max(s, t) * num > min(s, t) * den or find(p) == find(q):
-                        continue
-                    need = -(-num * int(s + t) // (num + den))
-                    if int(np.bitwise_count(tree.bitmaps[i] & tree.bitmaps[j]).sum()) + min(tree.excess[i], tree.excess[j]) < need:
-                        continue
-                    compared += 1
-                    if len(np.intersect1d(sets[p], sets[q], assume_unique=True)) >= need:
-                        p, q = find(p), find(q)
-                        up[max(p, q)] = min(p, q)
+                held[i - a1, tokens[order[i]]] = True
+            for j in range(a2, b2):
+                q, stop = order[j], min(b1, j) if x == y else b1
+                sizes = tree.sizes[a1:stop]
+                bound = np.bitwise_count(tree.bitmaps[a1:stop] & tree.bitmaps[j]).sum(1) + np.minimum(tree.excess[a1:stop], tree.excess[j])
+                near = np.flatnonzero(bound * (num + den) >= num * (sizes + tree.sizes[j]))
+                near = [i for i in near if find(order[a1 + i]) != find(q)]
+                if not near:
+                    continue
+                common = held[near][:, tokens[q]].sum(1)
+                for i, both in zip(near, common.tolist()):
+                    p = order[a1 + i]
+                    if both * den >= num * int(sizes[i] + tree.sizes[j] - both) and (part is None or part[p] != part[q]):
+                        p, q_root = find(p), find(q)
+                        up[max(p, q_root)] = min(p, q_root)
+                compared += len(near)
+            for i in range(a1, b1):
+                held[i - a1, tokens[order[i]]] = False
         elif x == y:
             stack += [(c1[0], c1[1]), (c1[0], c1[0]), (c1[1], c1[1])]
         elif c2 is None or c1 is not None and b1 - a1 >= b2 - a2:
@@ -325,7 +404,8 @@ def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tup
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    with_text = docs.select(KEY, "text").join(placed, docs[KEY] == placed["v"]).select("root", "i", "j", "part", KEY, "text")
+    # one kind of join at every size
+    with_text = docs.select(KEY, "text").hint("merge").join(placed, docs[KEY] == placed["v"]).select("root", "i", "j", "part", KEY, "text")
     out = with_text.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
     return out, cut
 
@@ -340,9 +420,8 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     rec = materialize(records(base, k, num, den))
     groups = rec.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(KEY).alias("rep"))
     reps = materialize(groups)
-    chosen = reps.select(F.col("rep").alias(KEY))
-    prefixes = rec.where("n > 0").select(KEY, "n", "prefix").dropDuplicates([KEY]) if not plain else rec.where("n > 0").select(KEY, "n", "prefix")
-    edges = materialize(families(prefixes.join(chosen, KEY, "left_semi"), num, den))
+    sets = rec.where("n > 0").select(KEY, "n", "keys")
+    edges = materialize(families(sets, num, den))
     family = components(edges)
     member = materialize(family.join(reps.select(F.col("rep").alias("v"), "n"), "v").select("v", "root", "n"))
     text = base if plain else base.dropDuplicates([KEY])

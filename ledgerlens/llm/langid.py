@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, fresh, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -52,7 +52,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     and which texts have a letter."""
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-    padded = pc.binary_join_element_wise(none, pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), none, space).cast(pa.large_binary())
+    padded = pc.binary_join_element_wise(none, pc.utf8_lower(fresh(texts)), none, space).cast(pa.large_binary())
     offsets = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset : padded.offset + len(padded) + 1]
     data = np.frombuffer(padded.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0], lettered

@@ -28,14 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, text_slices, words_of
+from .common import crc_mod, fresh, table, text_slices, words_of
 
 BLOCK = 64
 
 
 def term_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return words_of(pc.replace_substring_regex(texts, r"[^\p{L}\p{M}]+", " "), lower=False)
+    return words_of(pc.replace_substring_regex(pc.utf8_lower(fresh(texts)), r"[^\p{L}\p{M}]+", " "), lower=False)
 
 
 def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
