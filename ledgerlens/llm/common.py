@@ -8,10 +8,12 @@ word definitions of these operators ask for.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import suppress
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words handled at once in a Python worker; bounds its memory.
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 200_000
 U64 = np.uint64
 
 
@@ -94,6 +96,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which allocators else hold on to."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one slice has a few MB of text (or one row)."""
     for batch in batches:
@@ -106,7 +115,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             stop = max(start + 1, int(np.searchsorted(sizes, before + 6 * WORDS_AT_ONCE, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def fresh(texts: pa.Array) -> pa.Array:

@@ -41,7 +41,7 @@ from .common import U64, ids_are_keys, keyed, materialize, mix, ship, sorted_gro
 from .substring_dedup import Pool, signed
 
 FAMILY = 2_000_000
-ROWS_AT_ONCE = 1_500_000
+ROWS_AT_ONCE = 600_000
 LEAF, BITS = 8, 2048
 KEY = "__key"
 

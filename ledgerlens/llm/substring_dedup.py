@@ -36,7 +36,7 @@ from .common import U64, keyed, materialize, merged_runs, mix, packed_spans, shi
 WIDTH = 20
 #: Every difference modulo 13 is one of two members of {0, 1, 3, 9}.
 PERIOD, COVER, ANCHOR = 13, (0, 1, 3, 9), 8
-ROWS_AT_ONCE = 1_500_000
+ROWS_AT_ONCE = 600_000
 SECOND_BASE = 0xD6E8FEB86659FD93
 KEY = "__key"
 

@@ -82,7 +82,7 @@ def reputation(hosts: DataFrame, z: float = 2.0) -> DataFrame:
     domains = h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    p = (total["k"] + 0.5) / (total["n"] + 1.0)
+    p = (total["k"] + 0.5) / (total["n"] + 1.0) if total["n"] else 0.0
     s_suffix, s_domain, s_host = (_strength(x, p) for x in (suffixes, domains, h))
 
     def shrunk(prior: Column, s: float) -> Column:
