@@ -10,7 +10,7 @@ is at least ``num / den``.
    sizes could link are chained. The chains' connected components are candidate
    families: linked documents are always in one family. Chains, not pairs, so a
    block of any size costs its length; tasks chain what they see before the
-   shuffle. A bucket holds three shingles or more, so passages that many documents
+   shuffle. A bucket holds three shingles or more (two at low thresholds), so passages that many documents
    share rarely tie them together.
 3. Each family gets a signature tree: documents with similar signatures side by
    side, nodes with the OR of their token bitmaps and their range of sizes. A dual
@@ -80,19 +80,22 @@ def bucket_plan(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     a bucket must hold to be used. As many buckets as let nearly every set have
     more usable ones than two linked sets can differ in."""
     ends = size_classes(num, den)
-    buckets, least = np.ones(len(ends), np.int64), np.where(ends < 25, 2, 3)
+    buckets, least = np.ones(len(ends), np.int64), np.ones(len(ends), np.int64)
     for i, top in enumerate(ends - 1):
         differ = 2 * (den - num) * int(top) // (den + num)
         best = None
-        for m in sorted({differ + 1 + math.ceil(differ * x / 20) for x in range(25)} | {differ + 1, differ + 2}):
-            rate = top / m
-            poor = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(least[i]))
-            margin = m * (1 - poor) - differ - 1 - 3 * math.sqrt(m * poor * (1 - poor))
-            if best is None or margin > best[0]:
-                best = margin, m
-            if margin >= 0:
+        for need in (3, 2, 1) if top > 24 else (2, 1):
+            for m in sorted({differ + 1 + math.ceil(differ * x / 20) for x in range(25)} | {differ + 1, differ + 2}):
+                rate = top / m
+                poor = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(need))
+                margin = m * (1 - poor) - differ - 1 - 3 * math.sqrt(m * poor * (1 - poor))
+                if best is None or margin > best[0]:
+                    best = margin, m, need
+                if margin >= 0:
+                    break
+            if best[0] >= 0:
                 break
-        buckets[i] = best[1]
+        buckets[i], least[i] = best[1:]
     return ends, buckets, least
 
 
