@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, ids_are_keys, keyed, materialize, mix, ship, sorted_groups, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
+from .common import U64, give_back, ids_are_keys, keyed, materialize, mix, ship, sorted_groups, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
 from .substring_dedup import Pool, signed
 
 FAMILY = 2_000_000
@@ -253,7 +253,7 @@ def families(keyed_sets: DataFrame, num: int, den: int) -> DataFrame:
     out = keyed_sets.select(KEY, "n", "keys").mapInArrow(emit, "t long, lo int, hi int, k long, b long")
     # a document is named once by each task that has links of it, so few tasks; they
     # stream what Spark has sorted, and need no more memory for that
-    wide = max(1, int(keyed_sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    wide = max(1, int(keyed_sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     return out.repartition(wide, "t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -391,13 +391,13 @@ def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tup
             new = np.ones(len(root), bool)
             new[1:] = (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             at = np.concatenate([np.flatnonzero(new), [len(root)]])
-            text = group.column("text").combine_chunks()
+            text = group.column("text")
             a, b = [], []
             for s, e in zip(at[:-1], at[1:]):
                 if e - s < 2:
                     continue
                 rank = np.argsort(key[s:e], kind="stable")
-                grams, offsets = shingle_sets(text.slice(s, e - s).take(pa.array(rank)), k)
+                grams, offsets = shingle_sets(text.slice(s, e - s).combine_chunks().take(pa.array(rank)), k)
                 names = key[s:e][rank]
                 sets = [grams[p:q] for p, q in zip(offsets[:-1], offsets[1:])]
                 label, _ = link_family(sets, num, den, part[s:e][rank] if i[s] != j[s] else None)
@@ -406,6 +406,8 @@ def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tup
                 b.append(names[moved])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            del group, text
+            give_back()
 
     # one kind of join at every size
     with_text = docs.select(KEY, "text").hint("merge").join(placed, docs[KEY] == placed["v"]).select("root", "i", "j", "part", KEY, "text")
