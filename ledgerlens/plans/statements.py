@@ -8,7 +8,7 @@ from __future__ import annotations
 FIRST = """x AS (SELECT *, min(idx) OVER (PARTITION BY client_id, request_id, CASE WHEN client_id <> '' AND request_id <> 0 THEN 0 ELSE idx END) AS first_idx FROM kv_log),
 e AS (SELECT *, CASE WHEN op = 4 THEN '_checkpoint/' || client_id ELSE k END AS key FROM x WHERE idx = first_idx)"""
 WRITES = FIRST + ", w AS (SELECT idx, key, v FROM e WHERE op IN (2, 4))"
-LIVE = """rw AS (SELECT *, min(CASE WHEN tag = 3 THEN index_or_from END) OVER (PARTITION BY node_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cut FROM raft_wal),
+LIVE = """rw AS (SELECT *, min(CASE WHEN tag = 3 THEN index_or_from END) OVER (PARTITION BY node_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM raft_wal),
 live AS (SELECT node_id, index_or_from AS log_index, term FROM rw WHERE tag = 2 AND (cut IS NULL OR cut > index_or_from))"""
 MATCH = """t AS (SELECT tick, max(last_index) AS last_index, max(term) AS term FROM match_progress_ticks GROUP BY tick),
 k AS (SELECT tick, match_index, row_number() OVER (PARTITION BY tick ORDER BY match_index DESC, node_id) AS r FROM match_progress_ticks),
