@@ -42,7 +42,8 @@ from .substring_dedup import Pool, signed
 
 FAMILY = 2_000_000
 ROWS_AT_ONCE = 600_000
-LEAF, BITS = 8, 2048
+#: Children of a node, bits of a bitmap for each shingle, and node pairs at once.
+FAN, SPREAD, AT_ONCE = 4, 64, 20_000
 KEY = "__key"
 
 
@@ -289,91 +290,116 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class SignatureTree:
-    """Sets in an order that puts like beside like, under nodes of two children."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        n = len(sets)
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.bitmaps = np.zeros((n, BITS // 64), U64)
-        self.excess = np.zeros(n, np.int64)
-        for i, s in enumerate(sets):
-            bits = np.unique((s >> U64(20)) % U64(BITS)).astype(np.int64)
-            np.bitwise_or.at(self.bitmaps[i], bits // 64, U64(1) << (bits % 64).astype(U64))
-            self.excess[i] = len(s) - len(bits)
-        self.nodes: list[tuple] = []
-        self.root = self._build(0, n)
-
-    def _build(self, a: int, b: int) -> int:
-        if b - a <= LEAF:
-            children = None
-        else:
-            mid = (a + b) // 2
-            children = self._build(a, mid), self._build(mid, b)
-        bitmap = np.bitwise_or.reduce(self.bitmaps[a:b], 0)
-        self.nodes.append((a, b, children, bitmap, self.sizes[a:b].min(), self.sizes[a:b].max(), self.excess[a:b].max()))
-        return len(self.nodes) - 1
+    """Sets in an order that puts like beside like, under nodes of FAN children.
+    ``levels[0]`` are the sets; a node of a higher level has the OR of its
+    children's bitmaps, their range of sizes and their largest excess (shingles
+    beyond distinct bits). Bitmaps are as wide as sets of this family need, so a
+    tree takes memory in proportion to the family's shingles."""
+
+    def __init__(self, tokens: np.ndarray, at: np.ndarray) -> None:
+        sizes = np.diff(at)
+        n = len(sizes)
+        bits = 1 << int(np.clip(np.ceil(np.log2(SPREAD * max(1, sizes.mean()))), 8, 17))
+        bitmaps = np.zeros((n, bits // 64), U64)
+        row, bit = np.repeat(np.arange(n), sizes), (mix(tokens) % U64(bits)).astype(np.int64)
+        np.bitwise_or.at(bitmaps, (row, bit >> 6), U64(1) << (bit & 63).astype(U64))
+        self.levels = [(bitmaps, sizes, sizes, sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64))]
+        while len(self.levels[-1][1]) > 1:
+            bitmaps, lo, hi, excess = self.levels[-1]
+            heads = np.arange(0, len(lo), FAN)
+            self.levels.append((np.bitwise_or.reduceat(bitmaps, heads), np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), np.maximum.reduceat(excess, heads)))
+
+    def one_label(self, label: np.ndarray) -> list[np.ndarray]:
+        """By level and node: the component of all sets below, -1 if several."""
+        out = [label]
+        while len(out) < len(self.levels):
+            heads = np.arange(0, len(out[-1]), FAN)
+            least, most = np.minimum.reduceat(out[-1], heads), np.maximum.reduceat(out[-1], heads)
+            out.append(np.where(least == most, least, -1))
+        return out
+
+    def near(self, level: int, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which node pairs may hold a link, by sizes and then by bitmaps."""
+        bitmaps, lo, hi, excess = self.levels[level]
+        keep = np.flatnonzero((hi[x] * den >= lo[y] * num) & (hi[y] * den >= lo[x] * num))
+        step = max(1, (1 << 22) // bitmaps.shape[1])
+        for s in range(0, len(keep), step):
+            part = keep[s : s + step]
+            both = np.bitwise_count(bitmaps[x[part]] & bitmaps[y[part]]).sum(1, dtype=np.int64)
+            few = (both + np.minimum(excess[x[part]], excess[y[part]])) * (num + den) < num * (lo[x[part]] + lo[y[part]])
+            part[few] = -1
+        return keep[keep >= 0]
 
 
 def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Component (smallest position) of each set, and how many pairs were
     compared. With ``part``, pairs of the same part are left out."""
     n = len(sets)
-    order = sorted(range(n), key=lambda i: (sets[i][0] if len(sets[i]) else 0, len(sets[i])))
-    tree = SignatureTree([sets[i] for i in order])
-    up = list(range(n))
-    names, at = np.unique(np.concatenate(sets), return_inverse=True)
-    tokens = np.split(at, np.cumsum([len(x) for x in sets])[:-1])
-    held = np.zeros((LEAF, len(names)), bool)  # tokens of one leaf's sets
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def one(a: int, b: int) -> int:
-        root = find(order[a])
-        return root if all(find(order[i]) == root for i in range(a + 1, b)) else -1
-
-    compared, stack = 0, [(tree.root, tree.root)]
+    grade = np.searchsorted(size_classes(num, den), [len(x) for x in sets], side="right")
+    order = np.lexsort((np.array([x[0] if len(x) else 0 for x in sets], U64), grade))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([sets[i] for i in order]) if n else np.empty(0, U64)
+    tree = SignatureTree(flat, at)
+    names, tokens = np.unique(flat, return_inverse=True)
+    tokens = tokens.astype(np.int32)
+    held = np.zeros(len(names), bool)  # tokens of the set in hand
+    side = None if part is None else np.asarray(part)[order]
+    label = np.arange(n)
+
+    def compare(p: np.ndarray, q: int) -> None:
+        nonlocal label
+        own = tokens[at[q] : at[q + 1]]
+        held[own] = True
+        begin = np.concatenate([[0], np.cumsum(sizes[p])])
+        place = np.repeat(at[p] - begin[:-1], sizes[p]) + np.arange(begin[-1])
+        common = np.add.reduceat(held[tokens[place]], begin[:-1], dtype=np.int64)
+        held[own] = False
+        for root in np.unique(label[p[common * den >= num * (sizes[p] + sizes[q] - common)]]):
+            a, b = sorted((int(root), int(label[q])))
+            if a != b:
+                members[a] += members[b]
+                label[members.pop(b)] = a
+
+    members = {i: [i] for i in range(n)}
+    compared, zero = 0, np.zeros(1, np.int64)
+    stack = [(len(tree.levels) - 1, zero, zero)]
+    fan = np.arange(FAN)
     while stack:
-        x, y = stack.pop()
-        a1, b1, c1, m1, lo1, hi1, e1 = tree.nodes[x]
-        a2, b2, c2, m2, lo2, hi2, e2 = tree.nodes[y]
-        if hi1 * den < lo2 * num or hi2 * den < lo1 * num:
+        level, x, y = stack.pop()
+        of = tree.one_label(label)[level]
+        open_ = ~((of[x] == of[y]) & (of[x] >= 0)) if level else label[x] != label[y]
+        x, y = x[open_], y[open_]
+        near = tree.near(level, x, y, num, den)
+        x, y = x[near], y[near]
+        if level:
+            i = (x[:, None, None] * FAN + fan[:, None] + 0 * fan).ravel()
+            j = (y[:, None, None] * FAN + fan + 0 * fan[:, None]).ravel()
+            real = (j < len(tree.levels[level - 1][1])) & ((i < j) if level == 1 else (i <= j))
+            i, j = i[real], j[real]
+            first = np.argsort(i != j, kind="stable")[::-1]  # near the diagonal comes off the stack first
+            stack += [(level - 1, i[s], j[s]) for s in np.array_split(first, -(-len(first) // AT_ONCE))] if len(first) else []
             continue
-        need = -(-num * (lo1 + lo2) // (num + den))
-        if int(np.bitwise_count(m1 & m2).sum()) + min(e1, e2) < need:
-            continue
-        if b1 - a1 + b2 - a2 > 2 and (root := one(a1, b1)) >= 0 and root == one(a2, b2):
-            continue
-        if c1 is None and c2 is None:
-            for i in range(a1, b1):
-                held[i - a1, tokens[order[i]]] = True
-            for j in range(a2, b2):
-                q, stop = order[j], min(b1, j) if x == y else b1
-                sizes = tree.sizes[a1:stop]
-                bound = np.bitwise_count(tree.bitmaps[a1:stop] & tree.bitmaps[j]).sum(1) + np.minimum(tree.excess[a1:stop], tree.excess[j])
-                near = np.flatnonzero(bound * (num + den) >= num * (sizes + tree.sizes[j]))
-                near = [i for i in near if find(order[a1 + i]) != find(q)]
-                if not near:
-                    continue
-                common = held[near][:, tokens[q]].sum(1)
-                for i, both in zip(near, common.tolist()):
-                    p = order[a1 + i]
-                    if both * den >= num * int(sizes[i] + tree.sizes[j] - both) and (part is None or part[p] != part[q]):
-                        p, q_root = find(p), find(q)
-                        up[max(p, q_root)] = min(p, q_root)
-                compared += len(near)
-            for i in range(a1, b1):
-                held[i - a1, tokens[order[i]]] = False
-        elif x == y:
-            stack += [(c1[0], c1[1]), (c1[0], c1[0]), (c1[1], c1[1])]
-        elif c2 is None or c1 is not None and b1 - a1 >= b2 - a2:
-            stack += [(c1[0], y), (c1[1], y)]
-        else:
-            stack += [(x, c2[0]), (x, c2[1])]
-    return np.array([find(i) for i in range(n)]), compared
+        if side is not None:
+            apart = side[x] != side[y]
+            x, y = x[apart], y[apart]
+        by = np.argsort(y, kind="stable")
+        x, y = x[by], y[by]
+        cuts = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1], [True]])) if len(y) else []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            p, q = x[s:e], int(y[s])
+            for turn in (0, 1):  # first one of each component, then those still apart
+                p = p[label[p] != label[q]]
+                if len(p):
+                    now = np.unique(label[p], return_index=True)[1] if turn == 0 else np.arange(len(p))
+                    compare(p[now], q)
+                    compared += len(now)
+                    p = np.delete(p, now)
+    out = np.empty(n, np.int64)
+    out[order] = label
+    smallest = np.full(n, n)
+    np.minimum.at(smallest, out, np.arange(n))
+    return smallest[out], compared
 
 
 def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, bool]:
