@@ -301,8 +301,10 @@ class SignatureTree:
         n = len(sizes)
         bits = 1 << int(np.clip(np.ceil(np.log2(SPREAD * max(1, sizes.mean()))), 8, 17))
         bitmaps = np.zeros((n, bits // 64), U64)
-        row, bit = np.repeat(np.arange(n), sizes), (mix(tokens) % U64(bits)).astype(np.int64)
-        np.bitwise_or.at(bitmaps, (row, bit >> 6), U64(1) << (bit & 63).astype(U64))
+        for s in range(0, n, 256):  # a few sets at once: no long-lived arrays beside the bitmaps
+            e = min(n, s + 256)
+            row, bit = np.repeat(np.arange(s, e), sizes[s:e]), mix(tokens[at[s] : at[e]]) % U64(bits)
+            np.bitwise_or.at(bitmaps, (row, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
         self.levels = [(bitmaps, sizes, sizes, sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > 1:
             bitmaps, lo, hi, excess = self.levels[-1]
@@ -322,7 +324,7 @@ class SignatureTree:
         """Which node pairs may hold a link, by sizes and then by bitmaps."""
         bitmaps, lo, hi, excess = self.levels[level]
         keep = np.flatnonzero((hi[x] * den >= lo[y] * num) & (hi[y] * den >= lo[x] * num))
-        step = max(1, (1 << 22) // bitmaps.shape[1])
+        step = max(1, (1 << 20) // bitmaps.shape[1])
         for s in range(0, len(keep), step):
             part = keep[s : s + step]
             both = np.bitwise_count(bitmaps[x[part]] & bitmaps[y[part]]).sum(1, dtype=np.int64)
@@ -333,7 +335,8 @@ class SignatureTree:
 
 def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Component (smallest position) of each set, and how many pairs were
-    compared. With ``part``, pairs of the same part are left out."""
+    compared. Sets are sorted and not empty. With ``part``, pairs of the same part
+    are left out."""
     n = len(sets)
     grade = np.searchsorted(size_classes(num, den), [len(x) for x in sets], side="right")
     order = np.lexsort((np.array([x[0] if len(x) else 0 for x in sets], U64), grade))
@@ -341,20 +344,16 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
     at = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate([sets[i] for i in order]) if n else np.empty(0, U64)
     tree = SignatureTree(flat, at)
-    names, tokens = np.unique(flat, return_inverse=True)
-    tokens = tokens.astype(np.int32)
-    held = np.zeros(len(names), bool)  # tokens of the set in hand
     side = None if part is None else np.asarray(part)[order]
     label = np.arange(n)
 
     def compare(p: np.ndarray, q: int) -> None:
         nonlocal label
-        own = tokens[at[q] : at[q + 1]]
-        held[own] = True
+        own = flat[at[q] : at[q + 1]]
         begin = np.concatenate([[0], np.cumsum(sizes[p])])
-        place = np.repeat(at[p] - begin[:-1], sizes[p]) + np.arange(begin[-1])
-        common = np.add.reduceat(held[tokens[place]], begin[:-1], dtype=np.int64)
-        held[own] = False
+        theirs = flat[np.repeat(at[p] - begin[:-1], sizes[p]) + np.arange(begin[-1])]
+        found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        common = np.add.reduceat(found, begin[:-1], dtype=np.int64)
         for root in np.unique(label[p[common * den >= num * (sizes[p] + sizes[q] - common)]]):
             a, b = sorted((int(root), int(label[q])))
             if a != b:
@@ -390,11 +389,11 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
             p, q = x[s:e], int(y[s])
             for turn in (0, 1):  # first one of each component, then those still apart
                 p = p[label[p] != label[q]]
-                if len(p):
-                    now = np.unique(label[p], return_index=True)[1] if turn == 0 else np.arange(len(p))
-                    compare(p[now], q)
-                    compared += len(now)
-                    p = np.delete(p, now)
+                now = np.unique(label[p], return_index=True)[1] if turn == 0 else np.arange(len(p))
+                for some in np.array_split(now, -(-int(sizes[p[now]].sum()) // ROWS_AT_ONCE)) if len(p) else []:
+                    compare(p[some], q)
+                compared += len(now)
+                p = np.delete(p, now)
     out = np.empty(n, np.int64)
     out[order] = label
     smallest = np.full(n, n)
@@ -423,9 +422,11 @@ def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tup
                 if e - s < 2:
                     continue
                 rank = np.argsort(key[s:e], kind="stable")
-                grams, offsets = shingle_sets(text.slice(s, e - s).combine_chunks().take(pa.array(rank)), k)
-                names = key[s:e][rank]
-                sets = [grams[p:q] for p, q in zip(offsets[:-1], offsets[1:])]
+                names, sets = key[s:e][rank], []
+                for piece in text_slices(pa.table({"text": text.slice(s, e - s)}).to_batches()):
+                    grams, offsets = shingle_sets(piece.column("text"), k)
+                    sets += [grams[p:q] for p, q in zip(offsets[:-1], offsets[1:])]
+                sets = [sets[r] for r in rank]
                 label, _ = link_family(sets, num, den, part[s:e][rank] if i[s] != j[s] else None)
                 moved = label != np.arange(e - s)
                 a.append(names[label[moved]])
