@@ -161,6 +161,25 @@ def test_language_model_base_score_and_gain(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def lm_vocabulary(docs):
+    return maxent_lm.vocabulary(maxent_lm.count_tokens(docs))
+
+
+def test_language_model_learns_from_every_position(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(40)], "__key long, text string")
+    v = lm_vocabulary(docs)
+    n = 40 * 5
+    part = pa.RecordBatch.from_pydict({"text": docs.toPandas()["text"].tolist()})
+    cells = maxent_lm.seen_cells(v, part)
+    assert (cells < maxent_lm.BUCKETS * maxent_lm.CLASSES).sum() == 3 * n
+    start, w = maxent_lm.Weights.initial(v), maxent_lm.train(docs, v)
+    place, kind, h = v.look_up(maxent_lm.with_ends(part)[0])
+    offsets = np.arange(0, n + 1, 5)
+    outer, inner = maxent_lm.features(h, offsets)
+    before, after = (maxent_lm.log_probability(x, v, place, kind, outer, inner) for x in (start, w))
+    assert (after > before).all()  # no position is left as it was
+
+
 def test_toxicity_held_out(spark):
     big = DATA.replace("0.001", "0.1")
     out = toxicity.op3_toxicity(spark, big).join(common.table(spark, big, "labels"), "doc_id").where("held_out")
