@@ -180,6 +180,14 @@ def test_language_model_learns_from_every_position(spark):
     assert (after != before).all() and after.sum() > before.sum()  # no position is left as it was; hashes may collide
 
 
+def test_language_model_of_any_partitions(spark):
+    rows = [(i, " ".join(f"{'hot' if i < 5 else 'w'}{j % 7}" for j in range(i % 9 + 5))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "__key long, text string")
+    v = lm_vocabulary(docs)
+    one, many = maxent_lm.train(docs.coalesce(1), v), maxent_lm.train(docs.repartition(30, "__key"), v)
+    assert (one.outer == many.outer).all() and (one.inner == many.inner).all()
+
+
 def test_both_softmaxes_have_every_feature():
     # texts (1, 2, 3) and (9, 2, 3): the last histories differ two tokens back alone
     for rows in maxent_lm.features(np.array([1, 2, 3, 9, 2, 3], np.uint64), np.array([0, 3, 6])):
