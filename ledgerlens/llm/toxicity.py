@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased runs of letters. A bounded sample of labelled rows
-(``sample_rows`` on average, by hash) gives the examples and picks the terms: at
-most ``max_terms``, those whose count among toxic examples is too high for
-chance by a likelihood-ratio test over as many terms as were tried. Inverse
+(``sample_rows`` on average, by hash) gives the examples and picks the terms: all
+those whose count among toxic examples is too high for chance by a likelihood-ratio
+test over as many terms as were tried; cosines are over these. Inverse
 document frequencies of these terms are counted over all documents.
 
 The examples form an inverted index in blocks of ``BLOCK`` with each term's
@@ -97,7 +97,7 @@ class Model:
         return float(((cosine * votes).sum() + self.prior * self.base) / (cosine.sum() + self.prior)), self.index.ids[best].tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms: int = 1024, k: int = 15, prior: float = 0.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 15, prior: float = 0.5) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic). What comes to the driver: the
     chosen terms, and the examples' counts of them."""
     spark = docs.sparkSession
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_ter
     side = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
     ratio = 2 * (side(a, rate) + side(b, 1 - rate))
     chosen = counted.where("term IS NOT NULL").where((a / both > rate) & (ratio >= 2 * math.log(max(2, tried)) + 5))
-    terms = sorted(r["term"] for r in chosen.orderBy(ratio.desc(), "term").limit(max_terms).collect())
+    terms = sorted(r["term"] for r in chosen.collect())
     values = pa.array(terms, pa.large_string())
 
     def document_frequency(batches):
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_ter
     blank = got.where("size(terms) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
     empty = (blank["a"] + prior * rate) / (blank["n"] + prior)
     if not terms:
-        return Model([], np.empty(0), None, rate, min(empty, 0.49), k, prior)
+        return Model([], np.empty(0), None, rate, float(empty), k, prior)
     seen = docs.mapInArrow(document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(terms) + 1)
     for r in seen:
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_ter
     count = np.concatenate([np.asarray(x.values) for x in full["counts"]]) if len(sizes) else np.empty(0)
     y = full["toxic"].to_numpy()
     index = BlockMaxIndex(np.array(full["doc_id"].to_pylist()), y, rows, term, (1 + np.log(count)) * idf[term], len(terms)) if len(sizes) else None
-    return Model(terms, idf, index, float((y.sum() + prior * rate) / (len(y) + prior)), min(float(empty), 0.49), k, prior)
+    return Model(terms, idf, index, float((y.sum() + prior * rate) / (len(y) + prior)), float(empty), k, prior)
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:

@@ -225,6 +225,16 @@ def test_without_labels(spark, odd):
     assert toxicity.keep_clean(odd, none).count() == len(ODD)
 
 
+def test_no_cap_on_terms_and_termless_votes(spark):
+    bad = " ".join(f"t{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(1100))
+    docs = spark.createDataFrame([(i, bad if i < 20 else "fine") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(100)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels).terms) == 1100
+    mostly = spark.createDataFrame([(i, int(i >= 10)) for i in range(100)], "doc_id long, toxic int")
+    plain = docs.withColumn("text", common.F.lit("fine"))
+    assert {r.score > 0.5 for r in toxicity.score(plain, toxicity.train(plain, mostly)).collect()} == {True}
+
+
 def test_html():
     page = "<nav><a href=/>Menu</a></nav><article><h1>A &amp; b</h1><p>One two.<p>x < y<script>no</script></article><div class=comments><p>the cat of the dog is in the house and on it</p></div><footer>&copy;</footer>"
     assert html_text.extract(page) == "A & b\nOne two.\nx < y"
