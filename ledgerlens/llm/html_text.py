@@ -53,7 +53,8 @@ INLINE_TAGS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,20000}+)>|<[!?][^>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(?=[a-zA-Z])|<[!?][^>]*>", re.S)
+NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -78,6 +79,52 @@ def refused(tag: str, attributes: str, in_main: bool) -> bool:
     return bool(words & STRONG_WORDS) or bool(words & WEAK_WORDS) and not words & MAIN_WORDS
 
 
+class Tags:
+    """Where the tags of a page end. What follows a place outside quotes depends on
+    the next mark alone, so marks that lead to no end are followed once: the time is
+    linear in the page, however long tags are."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.near, self.dead, self.refused = page, {}, {len(page)}, -1
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        low, high = self.near.get(pattern, (1, 0))
+        if not low <= at <= high:
+            m = pattern.search(self.page, at)
+            low, high = self.near[pattern] = at, m.start() if m else len(self.page)
+        return high
+
+    def close(self, at: int) -> int:
+        """The first > outside quotes, or -1."""
+        passed = []
+        while (at := self.next(MARK, at)) not in self.dead:
+            if self.page[at] == ">":
+                return at
+            passed.append(at)
+            quote = self.page.find(self.page[at], at + 1)
+            if quote < 0:
+                break
+            at = quote + 1
+        self.dead.update(passed)
+        return -1
+
+    def token(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next tag, comment or declaration: start, stop, name in lower case (of
+        a tag), whether it closes, attributes."""
+        start = at
+        while m := TOKEN.search(self.page, start):
+            if m[1] is None:
+                return m.start(), m.end(), "", False, ""
+            name = end = self.next(NAME_END, m.end())
+            while end > m.end() and end != self.refused:
+                if (stop := self.close(end)) >= 0:
+                    return m.start(), stop + 1, self.page[m.end() : end].lower(), bool(m[1]), self.page[end:stop]
+                # a shorter name, cut at a quote, may do
+                end = max(self.page.rfind(q, m.end(), end) for q in "\"'")
+            self.refused, start = name, m.end()
+        return None
+
+
 class Block:
     __slots__ = ("text", "linked", "refused", "main", "heading", "label")
 
@@ -101,22 +148,21 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         breaks = 0
 
+    tags = Tags(page)
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        m = tags.token(at)
+        text = page[at : m[0] if m else len(page)]
         if text:
             parts.append((text, links > 0))
             if not text.isspace():
                 breaks = 0
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, tag, closing, attributes = m
         if not tag:
             continue
-        closing = bool(m[1])
         if tag in RAW_TAGS:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*)?/?>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -128,7 +174,7 @@ def blocks(page: str) -> list[Block]:
             if breaks > 1:
                 flush()
         elif tag in INLINE_TAGS:
-            if not closing and tag in ("span", "label") and refused(tag, m[3], bool(stack and stack[-1][2])):
+            if not closing and tag in ("span", "label") and refused(tag, attributes, bool(stack and stack[-1][2])):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else at
         elif tag in VOID_TAGS:
@@ -151,8 +197,8 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
                 up = stack[-1] if stack else ("", False, False)
             main = up[2] or tag in ("article", "main")
-            no = up[1] or refused(tag, m[3], up[2])
-            if not m[3].endswith("/"):
+            no = up[1] or refused(tag, attributes, up[2])
+            if not attributes.endswith("/"):
                 stack.append((tag, no, main and not no))
     flush()
     return out

@@ -241,6 +241,13 @@ def test_html():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>x") == ""
 
 
+def test_html_long_tags():
+    long = "<article><p>One two.</p><img src=data:" + "x" * 50_000 + "><object data=" + "y" * 50_000 + ">no</object><p>Three.</p></article>"
+    assert html_text.extract(long) == html_text.extract("<article><p>One two.</p><img><object>no</object><p>Three.</p></article>")
+    for hostile in ("<a", '<a "', "<a '\"", "<a =\"'"):
+        html_text.blocks(hostile * 100_000)  # ends soon: time is linear
+
+
 def test_language_id(spark, odd):
     out = langid.op6_language_id(spark, DATA).join(common.table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id")
     assert out.where("held_out AND lang = lang_pred").count() >= 0.95 * out.where("held_out").count()
