@@ -72,11 +72,12 @@ def dedup_sweep(log: DataFrame, limit: int = 16384, every: int = 1024, window: i
         table, top, n = state
         if client and request:
             if (client, request) in table:
-                return (table, top, n + 1), (idx, True)
+                return state, (idx, True)
             table.add((client, request))
             top[client] = max(top.get(client, 0), request)
-            if len(table) >= limit and (n + 1) % every == 0:
+            n += 1  # duplicates and commands without a client don't count
+            if len(table) >= limit and n % every == 0:
                 table = {(c, r) for c, r in table if r + window >= top[c]}
-        return (table, top, n + 1), (idx, False)
+        return (table, top, n), (idx, False)
 
     return ordered_fold(log.select(F.lit(0).cast("long").alias("part"), "idx", "client_id", "request_id"), ["part"], ["idx"], lambda: (set(), {}, 0), step, "idx long, duplicate boolean")

@@ -76,7 +76,7 @@ def aimd_rate(spark, sf_dir):
 
 
 def kv_dedup_sweep(spark, sf_dir):
-    return recurrences.dedup_sweep(_log(spark, sf_dir), 64, 16, 8)
+    return recurrences.dedup_sweep(_log(spark, sf_dir))
 
 
 def kv_codec_roundtrip(spark, sf_dir):

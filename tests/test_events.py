@@ -46,6 +46,39 @@ def test_sweep_forgets_old_requests(spark):
     assert got[101] and not got[102]
 
 
+def brute_sweep(rows, limit, every, window):
+    applied, top, count, out = set(), {}, 0, {}
+    for idx, client, request in sorted(rows):
+        tracked = bool(client) and bool(request)
+        out[idx] = tracked and (client, request) in applied
+        if tracked and not out[idx]:
+            applied.add((client, request))
+            top[client] = max(top.get(client, 0), request)
+            count += 1
+            if len(applied) >= limit and count % every == 0:
+                applied = {(c, r) for c, r in applied if r + window >= top[c]}
+    return out
+
+
+def test_sweep_counts_tracked_commands_alone(spark):
+    rows = [(i, 2, "" if i % 3 == 0 else "ab"[i % 2], i * 7 % 50 + i // 4, "k", "v", "") for i in range(1, 400)]
+    short = [(i, 2, "", 0, "k", "v", "") for i in range(3)] + [(i, 2, "a", i - 2, "k", "v", "") for i in range(3, 7)] + [(7, 2, "a", 1, "k", "v", "")]
+    assert not {r.idx: r.duplicate for r in recurrences.dedup_sweep(log(spark, short), 4, 4, 2).collect()}[7]
+    for sizes in ((16, 8, 4), (8, 5, 20)):
+        got = {r.idx: r.duplicate for r in recurrences.dedup_sweep(log(spark, rows), *sizes).collect()}
+        assert got == brute_sweep([(r[0], r[2], r[3]) for r in rows], *sizes)
+
+
+def test_sweep_query_has_the_sizes_of_the_reference(spark, monkeypatch):
+    rows = [(r.idx, r.client_id, r.request_id) for r in registry._log(spark, DATA).collect()]
+    got = {r.idx: r.duplicate for r in registry.QUERIES["kv_dedup_sweep"](spark, DATA).collect()}
+    assert got == brute_sweep(rows, 16384, 1024, 128)
+    # a log that passes the small sizes of before (64, 16, 8), but not those
+    more = [(i, 2, "a", i, "k", "v", "") for i in range(1, 101)] + [(101, 2, "a", 1, "k", "v", "")]
+    monkeypatch.setattr(registry, "_log", lambda *_: log(spark, more))
+    assert {r.idx: r.duplicate for r in registry.QUERIES["kv_dedup_sweep"](spark, DATA).collect()}[101]
+
+
 def test_cooldown_is_not_extended_by_refusals(spark):
     df = spark.createDataFrame([(1, 0, "a"), (2, 1, "a"), (3, 2, "a"), (4, 3, "b")], "event_id long, t long, ip string")
     assert {r.event_id for r in recurrences.cooldown(df, 2).where("accepted").collect()} == {1, 3, 4}
