@@ -1,36 +1,41 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased runs of letters. A bounded sample of labelled rows
-(``sample_rows`` on average, by hash) gives the examples and picks the terms: all
-those whose count among toxic examples is too high for chance by a likelihood-ratio
-test over as many terms as were tried; cosines are over these. Inverse
-document frequencies of these terms are counted over all documents.
-
-The examples form an inverted index in blocks of ``BLOCK`` with each term's
-largest weight by block. A query adds up these maxima, visits blocks from the
-highest bound down, and stops when no bound reaches its k-th best cosine, so the
-k nearest are exact. Votes weighted by cosine and shrunk to the base rate give
-the score; texts without any term get the rate among such examples.
-
-Defined cases: null, empty and wordless texts are texts without any term; null
-labels and ids are not learned from; of several labels for one id the largest
-counts; without labels the score is 0; ties in cosine go to the smaller example
-id; repeated rows are scored alike.
+(``sample_rows`` on average, by hash) gives the examples; all their terms count.
+A term's weight in a text is (1 + log count) * idf * relevance: inverse document
+frequencies are counted over all documents, and the relevance is the square root of
+the term's likelihood ratio between toxic and other examples (plus a small constant,
+so that no term is dropped), as plain idf finds texts of like topic and not of like
+tone. Terms that no example has are orthogonal to all of them and left out.
+
+The examples form an inverted index in blocks of ``BLOCK`` with each term's largest
+weight by block; like examples lie side by side. A batch of texts adds up these
+maxima, visits each text's most promising blocks, and then those alone whose bound
+reaches its k-th best cosine, so the k nearest are exact. Votes weighted by cosine
+and shrunk to the base rate are mapped to a probability by a logistic curve, which
+is fitted to the votes that every example gets from the others.
+
+Defined cases: null, empty and wordless texts have no term and get the score of the
+bare base rate; null labels and ids are not learned from; of several labels for one
+id the largest counts; without labels the score is 0; ties in cosine go to the
+smaller example id; repeated rows are scored alike; long texts are scored whole;
+other columns, whatever their names, are kept by ``keep_clean`` and ignored by
+``score``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, table, text_slices, words_of
+from .common import crc_mod, fresh, ship, table, text_slices, words_of
 
-BLOCK = 64
+BLOCK, FIRST, AT_ONCE, DENSE = 256, 4, 128, 512
+#: Added to every term's likelihood ratio.
+LEAST_RELEVANCE = 0.01
 
 
 def term_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -48,178 +53,238 @@ def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     return key // max(1, len(terms)), key % max(1, len(terms)), n
 
 
+def spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the range of each."""
+    size = stops - starts
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(ends[-1] if len(ends) else 0) + (starts - (ends - size))[of], of
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples, sorted by id, as postings by term and block."""
+    """Unit vectors of examples as postings by term; the postings of one term and
+    block are a cell with its largest weight. Rows are renumbered by their heaviest
+    term, then by id, and blocks are runs of rows. Cells of the ``DENSE`` most
+    frequent terms are stored as matrices, one a block, the others as lists."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
-        self.ids, self.labels = ids, labels
-        norm = np.sqrt(np.bincount(rows, weights**2, len(ids)))
-        weights = weights / norm[rows]
-        self.blocks = -(-len(ids) // BLOCK)
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (terms, rows // BLOCK), weights)
+        weights = weights / np.sqrt(np.bincount(rows, weights**2, len(ids)))[rows]
+        heavy = np.full(len(ids), -1)
+        order = np.argsort(weights, kind="stable")
+        heavy[rows[order]] = terms[order]  # the last one written is the heaviest
+        place = np.empty(len(ids), np.int64)
+        by = np.lexsort((ids, heavy))
+        place[by] = np.arange(len(ids))
+        self.ids, self.labels, rows = ids[by], labels[by], place[rows]
         order = np.lexsort((rows, terms))
         self.rows, self.weights = rows[order], weights[order]
-        self.starts = np.searchsorted((terms * self.blocks + rows // BLOCK)[order], np.arange(n_terms * self.blocks + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with any of the terms."""
-        weights = weights / np.sqrt((weights**2).sum())
-        bound = weights @ self.top[terms]
-        best, score = np.empty(0, int), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < score[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                at = slice(self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1])
-                sums[self.rows[at] - b * BLOCK] += w * self.weights[at]
-            hit = np.flatnonzero(sums)
-            best, score = np.concatenate([best, hit + b * BLOCK]), np.concatenate([score, sums[hit]])
-            keep = np.lexsort((best, -score.round(12)))[:k]
-            best, score = best[keep], score[keep]
-        return best, score
+        self.blocks = -(-len(ids) // BLOCK)
+        cell = terms[order] * self.blocks + self.rows // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        self.edges = np.concatenate([head, [len(cell)]])
+        self.block = cell[head] % max(1, self.blocks)
+        self.top = np.maximum.reduceat(self.weights, head) if len(head) else np.empty(0)
+        self.starts = np.searchsorted(cell[head] // max(1, self.blocks), np.arange(n_terms + 1))
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[df[common] * 16 >= len(ids)]
+        self.place = np.full(n_terms, -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks, len(common), BLOCK))
+        at = self.place[terms[order]]
+        full = np.flatnonzero(at >= 0)
+        self.dense[self.rows[full] // BLOCK, at[full], self.rows[full] % BLOCK] = self.weights[full]
+
+    def nearest(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For texts with terms[at[i]:at[i + 1]]: positions and cosines of the k
+        nearest examples, nearest first; cosine 0 where there are fewer with a
+        common term. ``but`` names a row for each text that isn't its neighbour."""
+        n, size, wide = len(at) - 1, len(self.ids), self.blocks * BLOCK
+        norm = np.sqrt(np.add.reduceat(np.append(weights**2, 0.0), at[:-1]) * (np.diff(at) > 0))
+        text = np.repeat(np.arange(n), np.diff(at))
+        weights = weights / norm[text]
+        cells, of = spread(self.starts[terms], self.starts[terms + 1])
+        owner, weight, block = text[of], weights[of], self.block[cells]
+        bound = np.bincount(owner * self.blocks + block, weight * self.top[cells], n * self.blocks).reshape(n, self.blocks)
+        common = self.place[terms]
+        full = np.flatnonzero(common >= 0)
+        asked = np.zeros((n, self.dense.shape[1]))
+        asked[text[full], common[full]] = weights[full]
+        rare = np.flatnonzero(common[of] < 0)
+        cells, owner, weight, block = cells[rare], owner[rare], weight[rare], block[rare]
+        sums, kept = np.zeros((n, wide)), min(k, size)
+
+        def visit(which: np.ndarray) -> np.ndarray:
+            for b in np.flatnonzero(which.any(0)):
+                rows = np.flatnonzero(which[:, b])
+                sums[rows, b * BLOCK : (b + 1) * BLOCK] += asked[rows] @ self.dense[b]
+            use = np.flatnonzero(which[owner, block])
+            start, stop = self.edges[cells[use]], self.edges[cells[use] + 1]
+            found, _ = spread(start, stop)
+            key = np.repeat(owner[use] * wide, stop - start) + self.rows[found]
+            sums.ravel()[:] += np.bincount(key, np.repeat(weight[use], stop - start) * self.weights[found], n * wide)
+            if but is not None:
+                sums[np.arange(n), but] = 0.0
+            return np.partition(sums, wide - kept, 1)[:, wide - kept]
+
+        first = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
+        least = visit(first)
+        least = visit(~first & (bound > 0) & (bound >= least[:, None] - 1e-9))
+        best, cosine = np.zeros((n, kept), np.int64), np.zeros((n, kept))
+        for i in range(n):
+            near = np.flatnonzero(sums[i] >= max(least[i] - 1e-11, 1e-11))
+            score = sums[i][near].round(12)
+            order = np.lexsort((self.ids[near], -score))[:kept]
+            best[i, : len(order)], cosine[i, : len(order)] = near[order], score[order]
+        return best, cosine
+
+
+def logistic(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the curve from the log-odds of a vote to those of the
+    label, by Newton's steps on the likelihood with a little decay."""
+    x = np.stack([odds(votes), np.ones(len(votes))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (labels - p) - 1e-3 * (w - (1.0, 0.0)))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(w[0]), float(w[1])) if np.isfinite(w).all() and w[0] > 0 else (1.0, 0.0)
+
+
+def odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, index: BlockMaxIndex | None, base: float, blank: float, k: int, prior: float) -> None:
-        self.terms, self.idf, self.index, self.base, self.blank, self.k, self.prior = terms, idf, index, base, blank, k, prior
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf[terms]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """Score, and the ids of the examples that voted, nearest first."""
-        if self.index is None or not len(terms):
-            return self.blank, []
-        best, cosine = self.index.nearest(terms, self.weigh(terms, counts), self.k)
-        votes = self.index.labels[best]
-        return float(((cosine * votes).sum() + self.prior * self.base) / (cosine.sum() + self.prior)), self.index.ids[best].tolist()
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 15, prior: float = 0.5) -> Model:
+    def __init__(self, terms: list[str], weight: np.ndarray, index: BlockMaxIndex | None, base: float, k: int, prior: float) -> None:
+        self.terms, self.weight, self.index, self.base, self.k, self.prior = terms, weight, index, base, k, prior
+        self.curve = (1.0, 0.0)
+
+    def votes(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: the vote, its neighbours' positions and cosines."""
+        best, cosine = self.index.nearest(at, terms, (1 + np.log(counts)) * self.weight[terms], self.k, but)
+        return ((cosine * self.index.labels[best]).sum(1) + self.prior * self.base) / (cosine.sum(1) + self.prior), best, cosine
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores, and the ids of the examples that voted, nearest first."""
+        if not self.terms:
+            return np.full(len(texts), self.base), [[]] * len(texts)
+        row, term, n = term_counts(texts, pa.array(self.terms, pa.large_string()))
+        at = np.searchsorted(row, np.arange(len(texts) + 1))
+        score, ids = np.empty(len(texts)), []
+        for s in range(0, len(texts), AT_ONCE):
+            e = min(len(texts), s + AT_ONCE)
+            own = slice(at[s], at[e])
+            vote, best, cosine = self.votes(at[s : e + 1] - at[s], term[own], n[own])
+            score[s:e] = 1 / (1 + np.exp(-(self.curve[0] * odds(vote) + self.curve[1])))
+            ids += [self.index.ids[b[c > 0]].tolist() for b, c in zip(best, cosine)]
+        return score, ids
+
+
+def relevance(a: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.ndarray:
+    """By term: from the likelihood ratio of its ``a`` toxic among its n examples
+    against the rate of all."""
+    p = min(max(toxic / total, 1e-6), 1 - 1e-6)
+    side = lambda x, q: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / (n * q)), 0.0)
+    return np.sqrt(np.maximum(0.0, 2 * (side(a, p) + side(n - a, 1 - p))) + LEAST_RELEVANCE)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int = 15, prior: float = 0.1) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic). What comes to the driver: the
-    chosen terms, and the examples' counts of them."""
-    spark = docs.sparkSession
+    sample's terms and its examples' counts of them."""
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = labels.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1_000_000)) / 1_000_000
     examples = docs.join(F.broadcast(labels.where(draw < min(1.0, sample_rows / max(1, n)))), "doc_id")
 
-    def count_terms(batches):
+    def vectors(batches):
         for batch in batches:
             for part in text_slices([batch]):
                 flat, offsets = term_lists(part.column("text"))
-                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 coded = flat.dictionary_encode()
                 size = max(1, len(coded.dictionary))
-                key = np.unique(row * size + coded.indices.to_numpy())
-                toxic = part.column("toxic").to_numpy()[key // size] > 0
-                both = np.bincount(key % size, minlength=size)[: len(coded.dictionary)]
-                yield pa.RecordBatch.from_pydict({"term": coded.dictionary.cast(pa.string()), "a": np.bincount((key % size)[toxic], minlength=size)[: len(coded.dictionary)], "n": both})
-                yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.string()), "a": [int((part.column("toxic").to_numpy() > 0).sum())], "n": [part.num_rows]})
-
-    counted = examples.mapInArrow(count_terms, "term string, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    total = counted.where("term IS NULL").first()
-    if not total or not total["n"]:
-        return Model([], np.empty(0), None, 0.0, 0.0, k, prior)
-    rate = min(max(total["a"] / total["n"], 1e-6), 1 - 1e-6)
-    tried = counted.where("term IS NOT NULL").count()
-    a, b, both = F.col("a"), F.col("n") - F.col("a"), F.col("n")
-    side = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
-    ratio = 2 * (side(a, rate) + side(b, 1 - rate))
-    chosen = counted.where("term IS NOT NULL").where((a / both > rate) & (ratio >= 2 * math.log(max(2, tried)) + 5))
-    terms = sorted(r["term"] for r in chosen.collect())
+                key, n = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offsets)) * size + coded.indices.to_numpy(), return_counts=True)
+                at = np.searchsorted(key // size, np.arange(part.num_rows + 1)).astype(np.int32)
+                terms = coded.dictionary.cast(pa.string()).take(pa.array(key % size))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "terms": pa.ListArray.from_arrays(at, terms), "counts": pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))})
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, terms array<string>, counts array<int>"
+    full = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, schema).toArrow().combine_chunks()
+    if not full.num_rows:
+        return Model([], np.empty(0), None, 0.0, k, prior)
+    order = sorted(range(full.num_rows), key=lambda i, ids=full["doc_id"].to_pylist(): ids[i])
+    full = full.take(pa.array(order)).combine_chunks()
+    y = full["toxic"].to_numpy() > 0
+    rate = float(y.mean())
+    lists = full["terms"].chunk(0)
+    rows = np.repeat(np.arange(full.num_rows), np.diff(lists.offsets.to_numpy()))
+    count = full["counts"].chunk(0).flatten().to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    if not terms:
+        return Model([], np.empty(0), None, rate, k, prior)
     values = pa.array(terms, pa.large_string())
+    shared = docs.sparkSession.sparkContext.broadcast(values)
 
     def document_frequency(batches):
+        known, rows = shared.value, 0
+        seen = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            seen, rows = np.zeros(len(values) + 1, np.int64), 0
             for part in text_slices([batch]):
-                seen[:-1] += np.bincount(term_counts(part.column("text"), values)[1], minlength=len(values))
+                seen[:-1] += np.bincount(term_counts(part.column("text"), known)[1], minlength=len(known))
                 rows += part.num_rows
-            seen[-1] = rows
-            used = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(used, pa.int32()), "n": seen[used]})
+        seen[-1] = rows
+        used = np.flatnonzero(seen)
+        for s in range(0, len(used), 10_000):
+            yield pa.RecordBatch.from_pydict({"term": pa.array(used[s : s + 10_000], pa.int32()), "n": seen[used[s : s + 10_000]]})
 
-    def vectors(batches):
-        for batch in batches:
-            row, term, n = term_counts(batch.column("text"), values)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (term, n)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": lists[0], "counts": lists[1]})
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, terms array<int>, counts array<int>"
-    got = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, schema)
-    blank = got.where("size(terms) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
-    empty = (blank["a"] + prior * rate) / (blank["n"] + prior)
-    if not terms:
-        return Model([], np.empty(0), None, rate, float(empty), k, prior)
-    seen = docs.mapInArrow(document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(terms) + 1)
-    for r in seen:
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    full = got.where("size(terms) > 0").toArrow().sort_by("doc_id")
-    sizes = np.array([len(x) for x in full["terms"]], int)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    term = np.concatenate([np.asarray(x.values) for x in full["terms"]]) if len(sizes) else np.empty(0, int)
-    count = np.concatenate([np.asarray(x.values) for x in full["counts"]]) if len(sizes) else np.empty(0)
-    y = full["toxic"].to_numpy()
-    index = BlockMaxIndex(np.array(full["doc_id"].to_pylist()), y, rows, term, (1 + np.log(count)) * idf[term], len(terms)) if len(sizes) else None
-    return Model(terms, idf, index, float((y.sum() + prior * rate) / (len(y) + prior)), float(empty), k, prior)
+    got = docs.mapInArrow(document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    in_toxic, in_any = np.bincount(term[y[rows]], minlength=len(terms)), np.bincount(term, minlength=len(terms))
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance(in_toxic, in_any, y.sum(), len(y))
+    # an example without any term has no vector and votes on nothing
+    vector = np.unique(rows)
+    place = np.searchsorted(vector, rows)
+    ids = np.array(full["doc_id"].to_pylist())[vector]
+    index = BlockMaxIndex(ids, y[vector].astype(float), place, term, (1 + np.log(count)) * weight[term], len(terms))
+    model = Model(terms, weight, index, rate, k, prior)
+    at = np.searchsorted(place, np.arange(len(vector) + 1))
+    where = np.empty(len(ids), np.int64)
+    where[np.searchsorted(ids, index.ids)] = np.arange(len(ids))
+    own = np.concatenate([model.votes(at[s : s + AT_ONCE + 1] - at[s], term[at[s] : at[min(s + AT_ONCE, len(ids))]], count[at[s] : at[min(s + AT_ONCE, len(ids))]], where[s : s + AT_ONCE])[0] for s in range(0, len(ids), AT_ONCE)])
+    model.curve = logistic(own, y[vector].astype(float))
+    return model
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
-    """docs(doc_id, text): doc_id, score, evidence (ids of the nearest examples)
-    and terms (those of the text that counted)."""
+    """docs(doc_id, text): doc_id, score, evidence (ids of the nearest examples)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, known = shared.value, {}
-        values = pa.array(m.terms, pa.large_string())
-        for batch in batches:
-            for part in text_slices([batch]):
-                row, term, n = term_counts(part.column("text"), values)
-                at = np.searchsorted(row, np.arange(part.num_rows + 1))
-                out = []
-                for a, b in zip(at[:-1], at[1:]):
-                    key = (term[a:b].tobytes(), n[a:b].tobytes())
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = (*m.score(term[a:b], n[a:b]), [m.terms[t] for t in term[a:b][:10]])
-                    out.append(known[key])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "score": pa.array([x[0] for x in out], pa.float64()),
-                    "evidence": pa.array([[str(i) for i in x[1][:evidence]] for x in out], pa.list_(pa.string())),
-                    "terms": pa.array([x[2] for x in out], pa.list_(pa.string())),
-                })
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<string>, terms array<string>")
+        for part in text_slices(batches):
+            scores, ids = shared.value.score(part.column("text"))
+            near = [[str(i) for i in x[:evidence]] for x in ids]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(scores), "evidence": pa.array(near, pa.list_(pa.string()))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<string>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns kept, whose text scores under the threshold."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
-        m, known = shared.value, {}
-        values = pa.array(m.terms, pa.large_string())
-        for batch in batches:
-            row, term, n = term_counts(batch.column("text"), values)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            keep = np.full(batch.num_rows, m.blank < threshold)
-            for r in np.flatnonzero(np.diff(at)):
-                a, b = at[r], at[r + 1]
-                key = (term[a:b].tobytes(), n[a:b].tobytes())
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = m.score(term[a:b], n[a:b])[0] < threshold
-                keep[r] = known[key]
-            yield batch.filter(pa.array(keep))
+        for part in text_slices(batches):
+            yield part.filter(pa.array(shared.value.score(part.column("text"))[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

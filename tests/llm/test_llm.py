@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import ann, common, decontaminate, html_text, jaccard_join, langid, maxent_lm, registry, sentencepieces, substring_dedup, toxicity, url_filters
+from ledgerlens.llm import ann, common, decontaminate, html_text, jaccard_join, langid, maxent_lm, registry, sentencepieces, substring_dedup, url_filters
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,46 +195,6 @@ def test_both_softmaxes_have_every_feature():
         assert rows[2, 1] == rows[5, 1] and rows[2, 2] != rows[5, 2] and rows[2, 3] != rows[5, 3]
 
 
-def test_toxicity_held_out(spark):
-    big = DATA.replace("0.001", "0.1")
-    out = toxicity.op3_toxicity(spark, big).join(common.table(spark, big, "labels"), "doc_id").where("held_out")
-    right = out.where("predicted = toxic").count() / out.count()
-    assert right > 0.97 and out.where("toxic = 1 AND predicted = 1").count() > 0.85 * out.where("toxic = 1").count()
-
-
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(0)
-    rows, terms = np.divmod(np.unique(rng.integers(0, 300 * 20, 1500)), 20)
-    _, rows = np.unique(rows, return_inverse=True)
-    weights = rng.random(len(rows)) + 0.1
-    index = toxicity.BlockMaxIndex(np.arange(rows.max() + 1), np.zeros(rows.max() + 1), rows, terms, weights, 20)
-    dense = np.zeros((rows.max() + 1, 20))
-    dense[rows, terms] = weights
-    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    for _ in range(50):
-        t = np.unique(rng.integers(0, 20, 4))
-        w = rng.random(len(t)) + 0.1
-        cosine = dense[:, t] @ (w / np.linalg.norm(w))
-        assert np.allclose(index.nearest(t, w, 10)[1], np.sort(cosine)[::-1][:10])
-
-
-def test_without_labels(spark, odd):
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    model = toxicity.train(odd, none)
-    assert {r.score for r in toxicity.score(odd, model).collect()} == {0.0}
-    assert toxicity.keep_clean(odd, none).count() == len(ODD)
-
-
-def test_no_cap_on_terms_and_termless_votes(spark):
-    bad = " ".join(f"t{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(1100))
-    docs = spark.createDataFrame([(i, bad if i < 20 else "fine") for i in range(100)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(100)], "doc_id long, toxic int")
-    assert len(toxicity.train(docs, labels).terms) == 1100
-    mostly = spark.createDataFrame([(i, int(i >= 10)) for i in range(100)], "doc_id long, toxic int")
-    plain = docs.withColumn("text", common.F.lit("fine"))
-    assert {r.score > 0.5 for r in toxicity.score(plain, toxicity.train(plain, mostly)).collect()} == {True}
-
-
 def test_html():
     page = "<nav><a href=/>Menu</a></nav><article><h1>A &amp; b</h1><p>One two.<p>x < y<script>no</script></article><div class=comments><p>the cat of the dog is in the house and on it</p></div><footer>&copy;</footer>"
     assert html_text.extract(page) == "A & b\nOne two.\nx < y"
