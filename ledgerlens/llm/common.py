@@ -60,10 +60,13 @@ def lower_az(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only if it is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one if it is unset and all of
+    Spark runs on this machine. A cluster must name a folder that all share."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = sc._ledgerlens_dir = getattr(sc, "_ledgerlens_dir", None) or tempfile.mkdtemp(prefix="ledgerlens-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -73,7 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here,
     so a lost executor costs no recomputation of what came before, and the
-    shuffle files behind the table are dropped once it is written."""
+    shuffle files behind the table are dropped once it is written. The table goes
+    with ``discard``, at the latest when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -83,17 +87,23 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ledgerlens_path = path
+    atexit.register(_remove, spark, path)
+    return out
 
-    def remove() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the session may have ended before Python does
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def _remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before Python does
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_ledgerlens_path", None):
+            _remove(df.sparkSession, path)
 
 
 def give_back() -> None:
@@ -217,19 +227,23 @@ def ids_are_keys(docs: DataFrame) -> bool:
     return n["all"] == n["ids"]
 
 
-def keyed(docs: DataFrame, key: str = "__key") -> DataFrame:
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with names that no helper column has: all but doc_id and text become c0,
+    c1, ...; ``toDF(*docs.columns)`` gives the old ones back."""
+    return docs.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(docs.columns)])
+
+
+def keyed(docs: DataFrame, key: str = "__key") -> tuple[DataFrame, bool]:
     """docs with a whole number that tells documents apart and orders them: the
-    doc_id, if ids are whole, unique and not null. Else rows of the same id and
-    text are one document, null ids come last, and texts of one id are ordered by
-    their hash."""
-    kind = dict(docs.dtypes)["doc_id"]
+    doc_id, if ids are whole, unique and not null (second result). Else rows of the
+    same id and text are one document, null ids come last, and texts of one id are
+    ordered by their hash; the numbers are those of rows sorted over all partitions."""
     if ids_are_keys(docs):
-        return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
-    pairs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    rows = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = materialize(docs.sparkSession.createDataFrame(rows, f"__id {kind}, __h long, {key} long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__h"))
-    return docs.join(numbers, same).drop("__id", "__h")
+        return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull()), True
+    own = F.coalesce(F.xxhash64("text"), F.lit(0))
+    pairs = docs.select(F.col("doc_id").alias("__id"), own.alias("__h")).distinct().orderBy(F.col("__id").asc_nulls_last(), "__h")
+    numbers = materialize(pairs.withColumn(key, F.monotonically_increasing_id()))
+    return docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__h"))).drop("__id", "__h"), False
 
 
 def packed_spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

@@ -12,19 +12,28 @@ is at least ``num / den``.
    block of any size costs its length; tasks chain what they see before the
    shuffle. A bucket holds three shingles or more (two at low thresholds), so passages that many documents
    share rarely tie them together.
-3. Each family gets a signature tree: documents with similar signatures side by
-   side, nodes with the OR of their token bitmaps and their range of sizes. A dual
-   traversal drops node pairs whose largest possible overlap is too small, or
-   that are one component already, and compares the sets of surviving pairs
-   exactly. Families beyond ``FAMILY`` shingles are cut into parts, and every
-   pair of parts is a task of its own.
-
-Nothing is collected; components are found with joins.
+3. A family is dealt to leaves of about ``LEAF`` shingles, like sizes and like
+   smallest hashes together; a leaf is a task, however large its family. Each leaf
+   gets a signature tree: documents with similar signatures side by side, nodes with
+   the OR of their token bitmaps and their range of sizes. A dual traversal drops
+   node pairs whose largest possible overlap is too small, or that are one component
+   already, and compares the sets of surviving pairs exactly.
+4. Families of several leaves go on with one document of each component found so
+   far, dealt to new leaves, while that at least halves them. Of what is then still
+   apart, every leaf of the documents outside the family's largest component meets
+   every leaf of the family whose sizes could link, as a task of its own, which
+   leaves out pairs of one component. So no pair that could link is left out, and a
+   group of near copies of any size costs its length.
+
+Nothing is collected; components are found with joins. Shingles are told apart by
+64-bit hashes, which are not checked against the words.
 
 Defined cases: null texts and texts without words have no shingles and link with
 nothing; texts shorter than the shingle are one shingle, their whole word
 sequence; rows of the same id and text are one document, null ids come last (see
-``keyed``), and a component of theirs is named by its first document's id.
+``keyed``), and a component of theirs is named by its first document's id; extra
+columns, whatever their names, are kept by ``keep_first`` and else left out; long
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -37,10 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, give_back, ids_are_keys, keyed, materialize, mix, ship, sorted_groups, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
+from .common import U64, discard, give_back, keyed, materialize, mix, plain_names, ship, sorted_groups, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
 from .substring_dedup import Pool, signed
 
-FAMILY = 2_000_000
+#: Shingles of a leaf, on average.
+LEAF = 1 << 15
 ROWS_AT_ONCE = 600_000
 #: Children of a node, bits of a bitmap for each shingle, and node pairs at once.
 FAN, SPREAD, AT_ONCE = 4, 64, 20_000
@@ -157,7 +167,9 @@ def bucket_keys(grams: np.ndarray, at: np.ndarray, num: int, den: int, rounds: i
 
 
 def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs(__key, doc_id, text): __key, doc_id, n, f1, f2, keys."""
+    """docs(__key, doc_id, text): __key, doc_id, n, f1, f2, grade (class of the
+    size), low (of the smallest hash) and keys."""
+    ends = size_classes(num, den)
 
     def run(batches):
         for batch in batches:
@@ -170,10 +182,13 @@ def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(grams ^ U64(salt)), dtype=U64)])
                     sums.append(pa.array(signed(total[at[1:]] - total[at[:-1]])))
                 lists = pa.ListArray.from_arrays(np.searchsorted(rows, np.arange(len(n) + 1)).astype(np.int32), pa.array(signed(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(KEY), part.column("doc_id"), pa.array(n.astype(np.int32)), *sums, lists], [KEY, "doc_id", "n", "f1", "f2", "keys"])
+                low = np.zeros(len(n), U64)
+                low[n > 0] = mix(grams[at[:-1][n > 0]])
+                marks = [pa.array(np.searchsorted(ends, n, side="right").astype(np.int32)), pa.array(signed(low))]
+                yield pa.RecordBatch.from_arrays([part.column(KEY), part.column("doc_id"), pa.array(n.astype(np.int32)), *sums, *marks, lists], [KEY, "doc_id", "n", "f1", "f2", "grade", "low", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id {kind}, n int, f1 long, f2 long, keys array<long>")
+    return docs.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id {kind}, n int, f1 long, f2 long, grade int, low long, keys array<long>")
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,36 +267,37 @@ def families(keyed_sets: DataFrame, num: int, den: int) -> DataFrame:
             yield joined()
 
     out = keyed_sets.select(KEY, "n", "keys").mapInArrow(emit, "t long, lo int, hi int, k long, b long")
-    # a document is named once by each task that has links of it, so few tasks; they
-    # stream what Spark has sorted, and need no more memory for that
-    wide = max(1, int(keyed_sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return out.repartition(wide, "t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
+    return out.repartition("t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _labels(edges: DataFrame) -> DataFrame:
     """edges(x, y): (v, root) for every end. Labels fall to the smallest
     neighbour's, then to their label's label, until none changes; every round is a
-    table of its own."""
+    table of its own, and the one before goes."""
     both = materialize(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
     labels = materialize(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("v", "y"), "y").groupBy(F.col("x").alias("v")).agg(F.min("root").alias("m"))
-        new = labels.join(near, "v").select("v", F.least("root", "m").alias("low"), F.col("root").alias("old"))
+        old = labels.select("v", "root")
+        near = both.join(old.withColumnRenamed("v", "y"), "y").groupBy(F.col("x").alias("v")).agg(F.min("root").alias("m"))
+        new = old.join(near, "v").select("v", F.least("root", "m").alias("low"), F.col("root").alias("old"))
         # a label's own label is at most as large: two hops in one round
         up = new.select(F.col("v").alias("low"), F.col("low").alias("higher"))
         new = materialize(new.join(up, "low", "left").select("v", F.least("low", "higher").alias("root"), "old"))
+        discard(labels)
         if not new.where("root <> old").limit(1).count():
+            discard(both)
             return new.select("v", "root")
-        labels = new.select("v", "root")
+        labels = new
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b), a < b: (v, root) for every end, root being the smallest
+    """edges(a, b), a table, a < b: (v, root) for every end, root being the smallest
     reachable. Each b hangs on the smallest a it was seen with; what remains is a
     small graph between those a, where labels travel."""
-    low = materialize(edges.where("a <> b").groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("seen")))
-    heads = low.select(F.explode("seen").alias("a")).distinct()
-    across = low.select(F.col("m").alias("x"), F.explode("seen").alias("y")).where("x <> y")
+    edges = edges.where("a <> b").distinct()
+    low = materialize(edges.groupBy("b").agg(F.min("a").alias("m")))
+    heads = edges.select("a").distinct()
+    across = edges.join(low, "b").where("m <> a").select(F.col("m").alias("x"), F.col("a").alias("y"))
     inner = low.join(heads, low["b"] == heads["a"], "left_semi").select(F.col("m").alias("x"), F.col("b").alias("y"))
     labels = _labels(across.union(inner))
     hung = low.select(F.col("b").alias("v"), F.col("m").alias("at"))
@@ -333,10 +349,10 @@ class SignatureTree:
         return keep[keep >= 0]
 
 
-def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Component (smallest position) of each set, and how many pairs were
     compared. Sets are sorted and not empty. With ``part``, pairs of the same part
-    are left out."""
+    are left out; sets of equal ``known`` are one component from the start."""
     n = len(sets)
     grade = np.searchsorted(size_classes(num, den), [len(x) for x in sets], side="right")
     order = np.lexsort((np.array([x[0] if len(x) else 0 for x in sets], U64), grade))
@@ -346,6 +362,9 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
     tree = SignatureTree(flat, at)
     side = None if part is None else np.asarray(part)[order]
     label = np.arange(n)
+    if known is not None:
+        _, first, own = np.unique(np.asarray(known)[order], return_index=True, return_inverse=True)
+        label = first[own]
 
     def compare(p: np.ndarray, q: int) -> None:
         nonlocal label
@@ -360,7 +379,9 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
                 members[a] += members[b]
                 label[members.pop(b)] = a
 
-    members = {i: [i] for i in range(n)}
+    members: dict[int, list[int]] = {}
+    for i, name in enumerate(label.tolist()):
+        members.setdefault(name, []).append(i)
     compared, zero = 0, np.zeros(1, np.int64)
     stack = [(len(tree.levels) - 1, zero, zero)]
     fan = np.arange(FAN)
@@ -401,84 +422,132 @@ def link_family(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | N
     return smallest[out], compared
 
 
-def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, bool]:
-    """docs(__key, text), member(v, root, n) of families: edges (a, b) of the true
-    components, and whether some family was cut into parts."""
-    size = member.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / FAMILY).cast("int").alias("parts"))
-    cut = bool(size.where("parts > 1").limit(1).count())
-    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    placed = member.join(size, "root").select("v", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("v", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("part"))
+def leaves(member: DataFrame) -> DataFrame:
+    """member(v, root, n, grade, low): with ``leaf``, and whether it is the ``whole``
+    family. A family of several leaves is cut by size class, then by the smallest
+    hash, then at random where many have the same."""
+
+    def cut(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        sums = df.groupBy(*by).agg(F.ceil(F.sum(F.col("n").cast("long")) / LEAF).alias(name))
+        return df.join(sums, by)
+
+    out = cut(member, ["root"], "size").withColumn("class", F.when(F.col("size") > 1, F.col("grade")).otherwise(-1))
+    out = cut(out, ["root", "class"], "cells").withColumn("cell", F.pmod("low", "cells"))
+    out = cut(out, ["root", "class", "cell"], "pieces").withColumn("piece", F.pmod(F.xxhash64("v"), "pieces"))
+    return out.select(*member.columns, F.xxhash64("root", "class", "cell", "piece").alias("leaf"), (F.col("size") <= 1).alias("whole"))
+
+
+def compare(docs: DataFrame, placed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """docs(__key, text), placed(v, leaf, side, label): edges (a, b) between labels
+    that documents of one leaf join. With sides, pairs of one side are left out."""
 
     def run(batches):
-        for group in sorted_groups(batches, ["root", "i", "j"]):
-            root, i, j, part, key = (group.column(c).to_numpy() for c in ("root", "i", "j", "part", KEY))
-            new = np.ones(len(root), bool)
-            new[1:] = (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            at = np.concatenate([np.flatnonzero(new), [len(root)]])
+        for group in sorted_groups(batches, ["leaf"]):
+            leaf, label, key = (group.column(c).to_numpy() for c in ("leaf", "label", KEY))
+            side = group.column("side").to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]])
             text = group.column("text")
             a, b = [], []
             for s, e in zip(at[:-1], at[1:]):
                 if e - s < 2:
                     continue
-                rank = np.argsort(key[s:e], kind="stable")
-                names, sets = key[s:e][rank], []
+                sets = []
                 for piece in text_slices(pa.table({"text": text.slice(s, e - s)}).to_batches()):
                     grams, offsets = shingle_sets(piece.column("text"), k)
                     sets += [grams[p:q] for p, q in zip(offsets[:-1], offsets[1:])]
-                sets = [sets[r] for r in rank]
-                label, _ = link_family(sets, num, den, part[s:e][rank] if i[s] != j[s] else None)
-                moved = label != np.arange(e - s)
-                a.append(names[label[moved]])
-                b.append(names[moved])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                rank = np.lexsort((side[s:e], key[s:e]))
+                names = label[s:e][rank]
+                sides = side[s:e][rank]
+                joined, _ = link_family([sets[r] for r in rank], num, den, sides if sides.any() else None, names)
+                # of each component the smallest label, and an edge to every other one
+                order = np.lexsort((names, joined))
+                joined, names = joined[order], names[order]
+                head = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
+                low = np.repeat(names[head], np.diff(np.concatenate([head, [len(names)]])))
+                a.append(low[low != names])
+                b.append(names[low != names])
+            if a and len(got := np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
             del group, text
             give_back()
 
-    # one kind of join at every size
-    with_text = docs.select(KEY, "text").hint("merge").join(placed, docs[KEY] == placed["v"]).select("root", "i", "j", "part", KEY, "text")
-    out = with_text.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
-    return out, cut
-
-
-def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """docs(doc_id, text): doc_id, n_shingles, component_id, __key, __first (the
-    key of the component's first document)."""
-    ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    plain = ids_are_keys(docs)
-    base = keyed(docs, KEY)
+    with_text = docs.select(KEY, "text").join(placed, docs[KEY] == placed["v"]).select("leaf", "side", "label", KEY, "text")
+    return with_text.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """docs(__key, text), member(v, root, n, grade, low) of families: (v, label) of
+    every member, label being the smallest of its true component."""
+    level = materialize(leaves(member))
+    one = F.lit(0).cast("byte").alias("side")
+    placed = level.select("v", "leaf", one, F.col("v").alias("label"))
+    found = materialize(compare(docs, placed, k, num, den))
+    known = materialize(_relabelled(level.withColumn("label", F.col("v")), found))
+    done, open_ = known.where("whole"), known.where("NOT whole")
+    if not open_.limit(1).count():
+        return done.select("v", "label")
+    # rounds: one document of each component
+    left = open_.select("label").distinct().count()
+    while True:
+        reps = materialize(leaves(open_.where("v = label").select(*member.columns)))
+        found = materialize(compare(docs, reps.select("v", "leaf", one, F.col("v").alias("label")), k, num, den))
+        open_ = materialize(_relabelled(open_, found))
+        was, left = left, open_.select("label").distinct().count()
+        if not left or 2 * left > was:
+            break
+    # what lies outside the largest component of its family meets all of the family
+    sums = open_.groupBy("root", "label").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    most = sums.groupBy("root").agg(F.max_by("label", "n").alias("most"))
+    rest = open_.join(most, "root").where("label <> most").select(*member.columns, "label")
+    near = materialize(leaves(rest))
+    range_of = lambda df, x: df.groupBy("root", F.col("leaf").alias(f"{x}_leaf")).agg(F.min("grade").alias(f"{x}_lo"), F.max("grade").alias(f"{x}_hi"))
+    pairs = range_of(near, "x").join(range_of(open_, "y"), "root").where("x_lo <= y_hi + 1 AND y_lo <= x_hi + 1").select("x_leaf", "y_leaf", F.xxhash64("x_leaf", "y_leaf").alias("pair"))
+    pairs = materialize(pairs)
+    sides = [df.join(pairs, F.col("leaf") == F.col(f"{x}_leaf")).select("v", F.col("pair").alias("leaf"), F.lit(i).cast("byte").alias("side"), "label") for i, (df, x) in enumerate(((near, "x"), (open_, "y")))]
+    found = materialize(compare(docs, sides[0].union(sides[1]), k, num, den))
+    return done.select("v", "label").union(_relabelled(open_, found).select("v", "label"))
+
+
+def _relabelled(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """known with the labels that edges between labels make of its labels."""
+    roots = components(edges).select(F.col("v").alias("label"), F.col("root").alias("new"))
+    return known.join(roots, "label", "left").withColumn("label", F.coalesce("new", "label")).select(*known.columns)
+
+
+def _classes(base: DataFrame, plain: bool, k: int, num: int, den: int) -> DataFrame:
+    """base(__key, doc_id, text): doc_id, n_shingles, __key, __first."""
+    ship(base.sparkSession)
     rec = materialize(records(base, k, num, den))
-    groups = rec.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(KEY).alias("rep"))
-    reps = materialize(groups)
-    sets = rec.where("n > 0").select(KEY, "n", "keys")
-    edges = materialize(families(sets, num, den))
+    reps = materialize(rec.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(KEY).alias("rep"), F.min("grade").alias("grade"), F.min("low").alias("low")))
+    edges = materialize(families(rec.where("n > 0").select(KEY, "n", "keys"), num, den))
     family = components(edges)
-    member = materialize(family.join(reps.select(F.col("rep").alias("v"), "n"), "v").select("v", "root", "n"))
-    text = base if plain else base.dropDuplicates([KEY])
-    found, cut = links(text, member, k, num, den)
-    found = materialize(found)
-    roots = (components(found) if cut else found.select(F.col("b").alias("v"), F.col("a").alias("root"))).withColumnRenamed("v", "rep")
-    first = reps.join(roots, "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g"), F.coalesce("root", "rep").alias("__first"))
+    member = materialize(family.join(reps.withColumnRenamed("rep", "v"), "v").select("v", "root", "n", "grade", "low"))
+    roots = links(base if plain else base.dropDuplicates([KEY]), member, k, num, den).withColumnRenamed("v", "rep")
+    first = reps.join(roots, "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g"), F.coalesce("label", "rep").alias("__first"))
     same = (rec["f1"] == first["g1"]) & (rec["f2"] == first["g2"]) & (rec["n"] == first["g"])
-    out = rec.join(first, same, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), KEY, F.coalesce("__first", KEY).alias("__first"))
+    return rec.join(first, same, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), KEY, F.coalesce("__first", KEY).alias("__first"))
+
+
+def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """docs(doc_id, text): doc_id, n_shingles, component_id."""
+    base, plain = keyed(docs.select("doc_id", "text"), KEY)
+    out = _classes(base, plain, k, num, den)
     if plain:
-        return out.withColumn("component_id", F.col("__first").cast(dict(docs.dtypes)["doc_id"]))
-    names = rec.select(F.col(KEY).alias("__first"), F.col("doc_id").alias("component_id")).dropDuplicates(["__first"])
-    return out.join(names, "__first")
+        return out.select("doc_id", "n_shingles", F.col("__first").cast(dict(docs.dtypes)["doc_id"]).alias("component_id"))
+    names = base.select(F.col(KEY).alias("__first"), F.col("doc_id").alias("component_id")).dropDuplicates(["__first"])
+    return out.join(names, "__first").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns kept, that come first in their component."""
-    base = keyed(docs, KEY)
-    first = classes(docs, k, num, den).where(f"{KEY} = __first").select(F.col(KEY).alias("__kept"))
+    base, plain = keyed(plain_names(docs), KEY)
+    first = _classes(base.select(KEY, "doc_id", "text"), plain, k, num, den).where(f"{KEY} = __first").select(F.col(KEY).alias("__kept"))
     kept = base.join(first, base[KEY] == F.col("__kept"), "left_semi")
-    return (kept if ids_are_keys(docs) else kept.dropDuplicates([KEY])).drop(KEY)
+    return (kept if plain else kept.dropDuplicates([KEY])).drop(KEY).toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return classes(table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL = r"""

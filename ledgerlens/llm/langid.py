@@ -3,8 +3,8 @@
 Every language has a codeword of bits. For each bit a logistic classifier over
 hashed character n-grams predicts it; decoding weighs each bit by its loss and
 takes the nearest codeword, and a small margin over the second marks the text as
-ambiguous. Up to six languages get the exhaustive code, more get the best of
-some random codes by smallest distance.
+ambiguous. Up to six languages get the exhaustive code, of 31 bits at most, more get
+the best of some random codes by smallest distance.
 
 The classifiers are fitted on the driver to a bounded sample of labelled rows,
 ``sample_rows`` by language on average, chosen by hash; statistics of the sample
@@ -13,7 +13,9 @@ come as sparse rows. Every text is scored whole.
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and are not learned from; null languages are not learned from; with one learned
 language that is the answer, with none the answer is ``und``; repeated rows are
-judged alike.
+judged alike; null ids are judged and, as the sample is drawn by id, not learned
+from; long texts are scored whole, one at a time; extra columns, whatever their
+names, are kept if asked for and else left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, table
+from .common import crc_mod, fresh, ship, table, text_slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -102,13 +104,8 @@ class Model:
         """Mean weight of a text's n-grams, by row and bit."""
         out = np.zeros((len(offsets) - 1, self.weights.shape[1]))
         for r, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            counts = sum((np.bincount(f, minlength=BUCKETS) for f in buckets_of(data[a:b])), np.zeros(BUCKETS, np.int64)) if b - a > 4000 else None
-            if counts is not None:
-                out[r], total = counts @ self.weights, counts.sum()
-            else:
-                found = np.concatenate(buckets_of(data[a:b]) or [np.empty(0, np.int32)])
-                out[r], total = self.weights[found].sum(0), len(found)
-            out[r] = out[r] / max(1, total) * self.scale + self.bias
+            used, n = np.unique(np.concatenate(buckets_of(data[a:b]) or [np.empty(0, np.int32)]), return_counts=True)
+            out[r] = n @ self.weights[used].astype(float) / max(1, n.sum()) * self.scale + self.bias
         return out
 
 
@@ -144,7 +141,8 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], langs: list[str], epoch
 
 def train(rows: DataFrame, sample_rows: int = 500) -> Model:
     """rows(doc_id, text, lang): about ``sample_rows`` by language, by hash."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ship(rows.sparkSession)
+    rows = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
     if not counts:
         return fit([], [], [])
@@ -153,7 +151,7 @@ def train(rows: DataFrame, sample_rows: int = 500) -> Model:
     chosen = rows.where(draw < share[F.col("lang")])
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches):
             ids, values, _ = features(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "ids": pa.array(ids, pa.list_(pa.int32())), "vals": pa.array(values, pa.list_(pa.float32())), "doc_id": batch.column("doc_id").cast(pa.string())})
 
@@ -165,14 +163,15 @@ def train(rows: DataFrame, sample_rows: int = 500) -> Model:
 def identify(docs: DataFrame, model: Model, least_lead: float = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, and the columns named in ``keep``): lang_pred, score,
     ambiguous. The model is a few MB and goes along with the code."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ["doc_id", *keep]
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+        for some in text_slices(batches):
+            for start in range(0, some.num_rows, 512):
+                part = some.slice(start, 512)
                 data, offsets, lettered = bytes_of(part.column("text"))
                 lettered = lettered & bool(m.langs)
                 best, p, lead = m.decode(m.margins(data, offsets)) if m.langs else (np.zeros(len(lettered), int), *[np.zeros(len(lettered))] * 2)

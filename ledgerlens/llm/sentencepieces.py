@@ -8,7 +8,9 @@ If no piece has the marker after another character, text can be cut before each
 run of markers without changing any result, which keeps long texts linear.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
-control pieces typed in a text are ordinary text.
+control pieces typed in a text are ordinary text; null and repeated ids are kept row
+by row, ids of any type; repeated texts get the same ids; long texts are encoded
+whole, few at once; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ship, table, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -170,16 +172,18 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 64, threads: int = 2
     as decimal text joined by commas) and round_trip: decoding gives the text.
 
     The driver reads the model file and sends its bytes along; each worker
-    encodes ``chunk`` texts at a time in ``threads`` threads.
+    encodes at most ``chunk`` texts, and a few MB of text, at a time in ``threads``
+    threads.
     """
+    ship(docs.sparkSession)
     data = read_model(path)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         c = codec(data)
-        for batch in batches:
-            for start in range(0, batch.num_rows, chunk):
-                part = batch.slice(start, chunk)
+        for some in text_slices(batches):
+            for start in range(0, some.num_rows, chunk):
+                part = some.slice(start, chunk)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = c.encode(texts)
                 out = {
@@ -192,12 +196,13 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 64, threads: int = 2
                     out["ids"] = pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded(doc_id, ids): doc_id, text; null ids give the empty string."""
+    ship(encoded.sparkSession)
     data = read_model(path)
 
     def run(batches):
@@ -206,7 +211,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [c.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,12 @@ collected.
 
 Defined cases: null, empty and short texts have no windows; rows of the same id
 and text are one document, null ids come last (see ``keyed``); windows that
-overlap their own earlier copy count as repeats; other columns are kept.
+overlap their own earlier copy count as repeats; other columns are kept, whatever
+their names; long texts are read whole, in slices that hold one text at least.
+
+Windows are told apart by 128 bits, made of two 64-bit hashes of each word: equal
+windows are always found, and different ones are taken for equal only if both hashes
+agree for all that differs, which isn't checked against the words.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, materialize, merged_runs, mix, packed_spans, ship, sorted_groups, span_mask, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
+from .common import U64, keyed, materialize, merged_runs, mix, packed_spans, plain_names, ship, sorted_groups, span_mask, starts_inside, table, text_slices, window_hashes, word_hashes, words_of
 
 WIDTH = 20
 #: Every difference modulo 13 is one of two members of {0, 1, 3, 9}.
@@ -199,7 +204,7 @@ def _joined(docs: DataFrame, width: int) -> DataFrame:
     if ANCHOR + PERIOD - 1 > width:
         raise ValueError(f"windows of at least {ANCHOR + PERIOD - 1} words")
     ship(docs.sparkSession)
-    base = keyed(docs, KEY)
+    base, _ = keyed(docs, KEY)
     # both joins take the same columns, so that the texts are shuffled once
     gone = repeats(base, materialize(candidates(base, width, PERIOD, COVER, ANCHOR)), width)
     return base.join(gone, base[KEY] == gone["__k"], "left").drop("__k", KEY)
@@ -224,7 +229,9 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs, all rows and columns; texts that lose words become their kept words
     joined by a space (n_chars, if there, follows), others stay as they are."""
-    names = docs.columns
+    wide = plain_names(docs)
+    names = wide.columns
+    chars = next((wide.columns[i] for i, n in enumerate(docs.columns) if n == "n_chars"), None)
 
     def run(batches):
         for batch in batches:
@@ -234,12 +241,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 new = [t if n else o for t, n, o in zip(texts, removed, old)]
                 columns = {c: part.column(c) for c in names}
                 columns["text"] = pa.array(new, pa.string())
-                if "n_chars" in columns:
-                    sizes = [len(t) if n else o for t, n, o in zip(texts, removed, part.column("n_chars").to_pylist())]
-                    columns["n_chars"] = pa.array(sizes, part.column("n_chars").type)
+                if chars:
+                    sizes = [len(t) if n else o for t, n, o in zip(texts, removed, part.column(chars).to_pylist())]
+                    columns[chars] = pa.array(sizes, part.column(chars).type)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return _joined(docs, width).mapInArrow(run, docs.schema)
+    return _joined(wide, width).mapInArrow(run, wide.schema).toDF(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
