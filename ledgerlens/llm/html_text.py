@@ -9,20 +9,25 @@ that has no refused text near, the article's own edges count as good, elsewhere
 the page's edges count as refused.
 
 Defined cases: null or empty html gives the empty string; broken markup is read
-as far as possible: a ``<`` that starts no tag is text, an unclosed raw element
-runs to the end; repeated pages give the same text; nothing is cut from long
-pages.
+as far as possible: a ``<`` without a letter, ``/``, ``!`` or ``?`` after it is text;
+a quoted value without an end, or after which no tag ends, ends at the next ``>``; a
+tag, comment or raw element without an end runs to the end of the page; null and
+repeated ids are kept row by row, repeated pages give the same text; nothing is cut
+from long pages, the time is linear in their length, and few are read at once; extra
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ship, table, text_slices
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -53,9 +58,9 @@ INLINE_TAGS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(?=[a-zA-Z])|<[!?][^>]*>", re.S)
-NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<(?:[!?]|/)[^>]*(?:>|\Z)", re.S)
+QUOTED, CLOSE = re.compile(r"=\s*(?=[\"'])"), re.compile(">")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,49 +85,47 @@ def refused(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 class Tags:
-    """Where the tags of a page end. What follows a place outside quotes depends on
-    the next mark alone, so marks that lead to no end are followed once: the time is
-    linear in the page, however long tags are."""
+    """The tags of a page, read forwards. How a tag goes on after a quoted value
+    depends on the place alone, so places that lead to no end are followed once."""
 
     def __init__(self, page: str) -> None:
-        self.page, self.near, self.dead, self.refused = page, {}, {len(page)}, -1
+        self.page, self.near, self.dead = page, {}, set()
 
-    def next(self, pattern: re.Pattern, at: int) -> int:
-        low, high = self.near.get(pattern, (1, 0))
-        if not low <= at <= high:
+    def next(self, pattern: re.Pattern, at: int) -> tuple[int, int]:
+        """Start and stop of the next match, past the page's end if there is none."""
+        asked, start, stop = self.near.get(pattern, (1, 0, 0))
+        if not asked <= at <= start:
             m = pattern.search(self.page, at)
-            low, high = self.near[pattern] = at, m.start() if m else len(self.page)
-        return high
+            start, stop = m.span() if m else (len(self.page) + 1,) * 2
+            self.near[pattern] = at, start, stop
+        return start, stop
 
     def close(self, at: int) -> int:
-        """The first > outside quotes, or -1."""
-        passed = []
-        while (at := self.next(MARK, at)) not in self.dead:
-            if self.page[at] == ">":
-                return at
-            passed.append(at)
-            quote = self.page.find(self.page[at], at + 1)
-            if quote < 0:
+        """Where the tag ends whose attributes begin here: the place of its >, or of
+        the page's end."""
+        passed, here = [], at
+        while here not in self.dead:
+            passed.append(here)
+            end, (start, value) = self.next(CLOSE, here)[0], self.next(QUOTED, here)
+            if end > len(self.page):
                 break
-            at = quote + 1
+            if end < value:
+                return end
+            quote = self.page.find(self.page[value], value + 1)
+            if quote < 0:
+                return self.next(CLOSE, value)[0]
+            here = quote + 1
         self.dead.update(passed)
-        return -1
+        return min(self.next(CLOSE, at)[0], len(self.page))
 
     def token(self, at: int) -> tuple[int, int, str, bool, str] | None:
         """The next tag, comment or declaration: start, stop, name in lower case (of
         a tag), whether it closes, attributes."""
-        start = at
-        while m := TOKEN.search(self.page, start):
-            if m[1] is None:
-                return m.start(), m.end(), "", False, ""
-            name = end = self.next(NAME_END, m.end())
-            while end > m.end() and end != self.refused:
-                if (stop := self.close(end)) >= 0:
-                    return m.start(), stop + 1, self.page[m.end() : end].lower(), bool(m[1]), self.page[end:stop]
-                # a shorter name, cut at a quote, may do
-                end = max(self.page.rfind(q, m.end(), end) for q in "\"'")
-            self.refused, start = name, m.end()
-        return None
+        m = TOKEN.search(self.page, at)
+        if not m or m[2] is None:
+            return m and (m.start(), m.end(), "", False, "")
+        stop = self.close(m.end())
+        return m.start(), stop + 1, m[2].lower(), bool(m[1]), self.page[m.end() : stop]
 
 
 class Block:
@@ -132,9 +135,15 @@ class Block:
         self.text, self.linked, self.refused, self.main, self.heading, self.label = text, linked, is_refused, main, heading, ""
 
 
+@lru_cache(64)
+def ending(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, refused, main
+    depth = Counter()  # open elements by name
     parts: list[tuple[str, bool]] = []
     links, breaks, at, heading = 0, 0, 0, False
 
@@ -163,8 +172,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW_TAGS:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*)?/?>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = tags.next(ending(tag), at)[0]
+                at = tags.next(CLOSE, end)[1] if end < len(page) else len(page)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -175,8 +184,8 @@ def blocks(page: str) -> list[Block]:
                 flush()
         elif tag in INLINE_TAGS:
             if not closing and tag in ("span", "label") and refused(tag, attributes, bool(stack and stack[-1][2])):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                end = tags.next(ending(tag), at)[0]
+                at = tags.next(CLOSE, end)[1] if end < len(page) else at
         elif tag in VOID_TAGS:
             if tag == "hr":
                 flush()
@@ -184,9 +193,11 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             heading = False
-            if any(e[0] == tag for e in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if depth[tag]:
+                while depth[tag]:
+                    depth.subtract([name := stack.pop()[0]])
+                    if name == tag:
+                        break
         else:
             flush()
             heading = tag in HEADINGS
@@ -194,12 +205,13 @@ def blocks(page: str) -> list[Block]:
                 continue
             up = stack[-1] if stack else ("", False, False)
             if tag == "li" and up[0] == "li" or tag in ("td", "th", "tr", "dt", "dd", "option") and up[0] == tag:
-                stack.pop()
+                depth.subtract([stack.pop()[0]])
                 up = stack[-1] if stack else ("", False, False)
             main = up[2] or tag in ("article", "main")
             no = up[1] or refused(tag, attributes, up[2])
             if not attributes.endswith("/"):
                 stack.append((tag, no, main and not no))
+                depth[tag] += 1
     flush()
     return out
 
@@ -255,11 +267,12 @@ def extract(page: str | None) -> str:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html): page_id, url, text, n_chars."""
+    ship(pages.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+        for some in text_slices(batches, "html"):
+            for start in range(0, some.num_rows, 256):
+                part = some.slice(start, 256)
                 texts = [extract(x) for x in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": texts, "n_chars": pa.array(map(len, texts), pa.int64())})
 
