@@ -4,16 +4,20 @@ Each benchmark window is filed under its rarest word, rarity being the word's
 count over all documents: a text that holds the window must hold that word at
 the window's offset. Occurrences of such words in documents are the only
 candidates. A candidate must leave room for the whole window before and after
-it, and the words in place are then compared exactly.
+it, the hashes of the words beside it must agree, and the words in place are then
+compared exactly.
 
-DataFrame expressions only. The windows are broadcast if the benchmark's text is
-at most ``BROADCAST_CHARS`` long; beyond that the same join is shuffled, and each
-word then carries just its neighbourhood.
+DataFrame expressions only, and one plan at every size: whether a side is broadcast
+is left to the optimiser, which knows the size of the written tables. The texts are
+split three times: to count the words that windows have, to find candidates, and to
+compare these.
 
 Defined cases: null or wordless texts have no words, hit nothing and are hit by
 nothing; items with the same windows are all named; items of null id take no
 part; rows with the same id and text get the same result, each row once; rows
-with one id and different texts are judged apart.
+with one id and different texts are judged apart; extra columns of any name are
+kept by ``decontaminate`` and ignored by ``contamination``; long texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -21,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lower_az, table
+from .common import LOWER, UPPER, lower_az, materialize, table
 
 #: What separates words; A-Z are left in place, and lower-cased later.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_CHARS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -41,41 +44,43 @@ def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     return out.withColumn("wid", F.md5(F.array_join("window", " "))).distinct()
 
 
-def prefix_index(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """(word, back, len, wid, phrase): each distinct window under its rarest
-    word, ``back`` words after its start. Windows with a word that no document
-    has are gone."""
+def neighbour(w: str, at: Column) -> Column:
+    """Hash of the word at a place from 0; null outside."""
+    word = F.get(w, at)
+    return F.when(word.isNotNull(), F.xxhash64(F.lower(word)))
+
+
+def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(word, back, len, wid, phrase, before, after): each distinct window under its
+    rarest word, ``back`` words after its start, with hashes of the words on either
+    side. Windows with a word that no document has are gone."""
     each = windows.dropDuplicates(["wid"])
     parts = each.select("wid", F.posexplode("window").alias("back", "token")).withColumn("word", F.lower("token"))
-    known = parts.select("word").distinct()
     tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("token")).select(F.lower("token").alias("word"))
-    counts = tokens.join(F.broadcast(known) if small else known, "word").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = parts.join(F.broadcast(counts) if small else counts, "word", "left").groupBy("wid").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "back")).alias("best")
+    counts = tokens.join(parts.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("n"))
+    ranked = parts.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "back")).alias("best"))
+    back = F.col("best.back")
+    return ranked.where("best.n > 0").join(each, "wid").select(
+        "wid", "best.word", "best.back", F.size("window").alias("len"), F.array_join("window", " ").alias("phrase"),
+        neighbour("window", back - 1).alias("before"), neighbour("window", back + 1).alias("after"),
+    )
+
+
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, h, start, len, wid, phrase) of places that may hold a window: its
+    rarest word is there with the right neighbours, and there is room for it. A row
+    of one word and two hashes for each word of the text is all that such a join
+    would shuffle. Outer generators, as inner ones get a size filter that splits the
+    text twice."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
+    tokens = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token"))
+    tokens = tokens.select(
+        "doc_id", "h", "pos", F.size("w").alias("n"), F.lower("token").alias("word"),
+        neighbour("w", F.col("pos") - 1).alias("left"), neighbour("w", F.col("pos") + 1).alias("right"),
     )
-    phrase = F.array_join("window", " ").alias("phrase")
-    return ranked.where("best.n > 0").join(each, "wid").select("wid", "best.word", "best.back", F.size("window").alias("len"), phrase)
-
-
-def occurrences(docs: DataFrame, index: DataFrame, width: int, small: bool) -> DataFrame:
-    """(doc_id, h, start, stop, wid) of every window in a document. Outer
-    generators, as inner ones get a size filter that splits the text twice."""
-    key = [F.col("doc_id"), F.xxhash64("text").alias("h")]
-    split = docs.select(*key, words(F.col("text")).alias("w"))
-    if small:
-        tokens = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token")).withColumn("first", F.lit(0))
-        side = F.broadcast(index)
-    else:
-        tokens = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token"))
-        first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-        tokens = tokens.select("doc_id", "h", F.slice("w", first + 1, F.lit(2 * width - 1)).alias("w"), "pos", "token", first.alias("first"))
-        side = index
-    at = F.col("pos") - F.col("back") - F.col("first")
-    found = tokens.withColumn("word", F.lower("token")).join(side, "word")
-    found = found.where((at >= 0) & (at + F.col("len") <= F.size("w")))
-    found = found.where(lower_az(F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.col("len")), " ")) == F.col("phrase"))
     start = F.col("pos") - F.col("back")
-    return found.select("doc_id", "h", start.alias("start"), (start + F.col("len")).alias("stop"), "wid")
+    beside = (F.col("before").isNull() | (F.col("before") == F.col("left"))) & (F.col("after").isNull() | (F.col("after") == F.col("right")))
+    return tokens.join(index, "word").where((start >= 0) & (start + F.col("len") <= F.col("n")) & beside).select("doc_id", "h", start.alias("start"), "len", "wid", "phrase")
 
 
 def covered(spans: Column) -> Column:
@@ -87,40 +92,48 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
+def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """One row for each row of docs: doc_id, h, n_words, n_hit, wids. A table of its
+    own, as is all it builds on: every pass over the texts is made once."""
+    index = materialize(prefix_index(docs, windows))
+    maybe = candidates(docs, index).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("start", "len", "wid", "phrase")).alias("maybe"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    both = base.join(maybe, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    split = both.select("doc_id", "h", words(F.col("text")).alias("w"), "maybe")
+    equal = lambda x: lower_az(F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ")) == x["phrase"]
+    true = split.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.filter("maybe", equal).alias("true"))
+    spans = F.array_sort(F.array_distinct(F.transform("true", lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["len"]).alias("stop")))))
+    out = true.select("doc_id", "h", "n_words", F.coalesce(covered(spans), F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("true", lambda x: x["wid"])).alias("wids"))
+    return materialize(out)
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """One row for each row of docs(doc_id, text): n_words, n_hit, n_items,
-    items_sha256, contaminated."""
+    items_sha256, contaminated, items."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    small = chars <= BROADCAST_CHARS
-    windows = benchmark_windows(items, width)
-    hits = occurrences(docs, prefix_index(docs, windows, small), width, small)
+    windows = materialize(benchmark_windows(items, width))
+    rows = hits(docs, items, windows, width)
     names = windows.select("wid", F.col("item_id").cast("string").alias("item"))
-    by_window = hits.groupBy("doc_id", "h", "wid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    named = by_window.join(F.broadcast(names) if small else names, "wid").select("doc_id", "h", "item").distinct()
-    named = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    spans = by_window.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    per_doc = spans.join(named.withColumnsRenamed({"doc_id": "d2", "h": "h2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).select(
-        F.col("doc_id").alias("d"), F.col("h").alias("g"), covered(F.col("spans")).cast("long").alias("n_hit"), "names"
-    )
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    empty = F.array().cast("array<string>")
-    return base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(F.coalesce("names", empty)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("names", empty), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
-        F.coalesce("names", empty).alias("items"), base["h"],
+    hit = rows.where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.explode("wids").alias("wid")).distinct()
+    named = hit.join(names, "wid").groupBy("d", "g").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    items_of = F.coalesce("names", F.array().cast("array<string>"))
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
+        "doc_id", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items_of.alias("items"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of docs, all columns kept, whose text holds no benchmark window."""
-    bad = contamination(docs, items, width).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_h"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_bad_h")), "left_anti")
+    """The rows of docs, all columns kept whatever their names, whose text holds no
+    benchmark window."""
+    narrow = docs.select("doc_id", "text")
+    rows = hits(narrow, items, materialize(benchmark_windows(items.select("item_id", "text"), width)), width)
+    bad = rows.where("n_hit > 0")  # read from a table: no name of it can be meant by one of docs
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "h")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
