@@ -1,11 +1,18 @@
 """Approximate nearest neighbours by learned partitions.
 
-On the driver, from a bounded sample of ``sample_rows`` vectors (by hash): an exact
-neighbour graph, its balanced partition (greedy growth, then label moves under a
-size limit), and a softmax classifier with one hidden layer that learns in which
-partitions a vector's neighbours lie. Every row of the table is filed under the
-partition that the classifier ranks first; a query visits the ``probes`` that it
-ranks highest and all rows there are compared in double precision.
+On the driver, from a bounded sample (``SAMPLE_ROWS`` vectors for each partition, by
+hash, ``MOST_ROWS`` at most): an exact neighbour graph, its balanced partition
+(greedy growth, then label moves under a size limit), and a softmax classifier with
+one hidden layer that learns in which partitions a vector's neighbours lie. There is
+a partition for every ``PART_ROWS`` rows, 16 at least and as many as the sample allows
+at most. Every row of the table is filed under the partition that the classifier
+ranks first; a query visits those that it ranks highest and all rows there are
+compared in double precision.
+
+How many a query visits is measured, not set: a quarter of the sample is kept from
+the fit, and the number is the smallest that finds ``recall`` of the neighbours
+within that quarter. These are further away than those in the whole table, so the
+recall of the search is rather higher. Vectors without structure need most partitions.
 
 Equal vectors are one entry with its k + 1 smallest ids, as no list needs more.
 Partitions are dealt to salts of bounded size, so a hot one is many tasks; queries
@@ -14,7 +21,9 @@ query and salt leave a task.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite values
 take no part; nor do those whose length differs from the most common; null ids
-take no part; fewer candidates than k give all of them; ties go to the smaller id.
+take no part; fewer candidates than k give all of them; ties go to the smaller id;
+repeated vectors are candidates each, rows of one id count once; no usable rows give
+none; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_groups, table
+from .common import materialize, ship, sorted_groups, table
 
 SALT_ROWS = 8192
+PART_ROWS, SAMPLE_ROWS, MOST_ROWS, LEAST_PARTS = 4096, 256, 16_384, 16
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -133,10 +143,34 @@ def _matrix(column) -> np.ndarray:
     return a.flatten().to_numpy().reshape(len(a), -1)
 
 
-def fit(rows: DataFrame, total: int, sample_rows: int, parts: int) -> Router:
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T
+
+
+def needed_probes(router: Router, parts: int, x: np.ndarray, k: int, recall: float) -> int:
+    """The fewest partitions in which vectors that the router hasn't seen find that
+    share of their nearest among each other."""
+    if len(x) < 2:
+        return parts
+    d = distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1, kind="stable")[:, : min(k, len(x) - 1)]
+    ranked = router.rank(x, parts)
+    place = np.argsort(ranked, 1)  # by vector and partition: how many are visited before it
+    visits = np.take_along_axis(place, ranked[:, 0][near], 1)
+    return int(np.quantile(visits, recall, method="higher")) + 1
+
+
+def fit(rows: DataFrame, total: int, k: int, recall: float) -> tuple[Router, int]:
+    """Router and probes."""
+    parts = max(LEAST_PARTS, min(total // PART_ROWS, MOST_ROWS // SAMPLE_ROWS))
+    size = parts * SAMPLE_ROWS
     draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    x = _matrix(rows.where(draw < min(1.0, sample_rows / max(1, total))).orderBy("vec_id").limit(2 * sample_rows).toArrow()["v"]) if total else np.zeros((0, 1))
-    x = np.unique(x, axis=0)
+    x = _matrix(rows.where(draw < min(1.0, size / max(1, total))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * size).toArrow()["v"]) if total else np.zeros((0, 1))
+    if not len(x):
+        return Router(np.zeros((1, 1)), np.ones((1, 1))), 1
+    cut = len(x) // 4
+    unseen, x = x[:cut], np.unique(x[cut:], axis=0)
     if len(x) < 2 * parts:
         parts = 1
     graph = neighbour_graph(x, 10)
@@ -144,15 +178,18 @@ def fit(rows: DataFrame, total: int, sample_rows: int, parts: int) -> Router:
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 0.5 / max(1, graph.shape[1]))
     target[np.arange(len(x)), part] += 0.5
-    return Router(x, target) if len(x) else Router(np.zeros((1, 1)), np.ones((1, 1)))
+    router = Router(x, target)
+    return router, needed_probes(router, parts, unseen, k, recall)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, sample_rows: int = 4096, parts: int = 16, probes: int = 13) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.93) -> DataFrame:
     """vectors(vec_id, embedding): the k nearest of each row whose id is divisible
     by ``every``: query_id, rank, vec_id, score."""
+    ship(vectors.sparkSession)
     rows = materialize(usable(vectors))
     total = rows.count()
-    shared = rows.sparkSession.sparkContext.broadcast(fit(rows, total, sample_rows, parts))
+    router, probes = fit(rows, total, k, recall)
+    shared = rows.sparkSession.sparkContext.broadcast(router)
 
     def file(batches, top):
         for batch in batches:
