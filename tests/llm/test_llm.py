@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import ann, common, decontaminate, html_text, jaccard_join, langid, maxent_lm, registry, sentencepieces, substring_dedup, url_filters
+from ledgerlens.llm import ann, common, decontaminate, html_text, jaccard_join, langid, maxent_lm, registry, sentencepieces, substring_dedup, toxicity, url_filters
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,17 +117,78 @@ def test_signature_tree_equals_all_pairs():
     assert jaccard_join.link_family(sets, 85, 100)[0].tolist() == label
 
 
-def test_families_in_parts(spark, odd, monkeypatch):
-    want = sorted(map(tuple, jaccard_join.classes(odd).select("doc_id", "component_id").collect()))
-    monkeypatch.setattr(jaccard_join, "FAMILY", 10)
-    assert sorted(map(tuple, jaccard_join.classes(odd).select("doc_id", "component_id").collect())) == want
+def brute_components(docs, k, num):
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall((t or "").translate(LOW))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and both * 100 >= num * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("leaf", [1 << 15, 400])
+def test_components_with_leaves_of_any_size(spark, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rng, docs = np.random.default_rng(3), []
+    for g in range(4):
+        base = rng.integers(0, 300, int(rng.integers(30, 100)))
+        for c in range(40 if g else 12):  # near copies of one text, then a chain that drifts away from it
+            near = base.copy()
+            near[rng.integers(0, len(base), int(rng.integers(0, 4)))] = rng.integers(0, 300)
+            docs.append(near)
+        for c in range(15):
+            base = base.copy()
+            base[rng.integers(0, len(base))] = rng.integers(0, 300)
+            docs.append(base)
+    docs = [(i, " ".join(f"w{x}" for x in d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.classes(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == brute_components(docs, 5, 80)
+
+
+def test_components_of_odd_rows(spark, odd):
+    got = {r.doc_id: r.component_id for r in jaccard_join.classes(odd).collect()}
+    assert got == brute_components([(d, t) for d, t, _ in ODD], 4, 85)
+
+
+def brute_decontamination(docs, items, width=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(LOW))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        n = min(width, len(w))
+        for s in range(len(w) - n + 1 if w and i is not None else 0):
+            windows.setdefault(tuple(w[s : s + n]), set()).add(str(i))
+    out = {}
+    for d, t in docs:
+        w, hit, names = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[s : s + n])):
+                    hit.update(range(s, s + n))
+                    names |= found
+        out[d] = (len(w), len(hit), sorted(names))
+    return out
 
 
-def test_decontamination_shuffled_equals_broadcast(spark, monkeypatch):
-    docs, items = (common.table(spark, DATA, t) for t in ("documents", "benchmark"))
-    want = sorted(map(repr, decontaminate.contamination(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", 0)
-    assert sorted(map(repr, decontaminate.contamination(docs, items).collect())) == want
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_decontamination_equals_brute_force(spark, threshold):
+    """With the joins that the optimiser picks, and with none of them broadcast."""
+    docs, items = (common.table(spark, DATA, t).select(n, "text") for t, n in (("documents", "doc_id"), ("benchmark", "item_id")))
+    more = [(1000, "The of"), (1001, "of"), (1002, None), (1003, " . "), (None, "the"), (1004, "of the of the of the of the of the of the")]
+    items = items.union(spark.createDataFrame(more, "item_id long, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute_decontamination(docs.collect(), items.collect())
 
 
 def test_decontamination_of_odd_rows(spark, odd):
@@ -188,6 +250,58 @@ def test_language_model_of_any_partitions(spark):
     assert (one.outer == many.outer).all() and (one.inner == many.inner).all()
 
 
+def test_probabilities_of_the_vocabulary_sum_to_one(spark):
+    """After each history: all counted tokens, and one unknown token a tail class."""
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{(i * j) % (900 + i)}{'xyz'[(i + j) % 3]}" for j in range(60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "__key long, text string")
+    v = lm_vocabulary(docs)
+    assert len(v.tokens) > maxent_lm.HEAD
+    w = maxent_lm.train(docs, v)
+    n, tail = len(v.tokens), maxent_lm.TAIL_CLASSES
+    place = np.concatenate([np.arange(n), np.full(tail, -1)])
+    kind = np.concatenate([v.kind, np.arange(tail) + maxent_lm.HEAD_CLASSES])
+    for text in ("a1x b2y", "never seen", ""):
+        flat, offsets = maxent_lm.with_ends(pa.RecordBatch.from_pydict({"text": [text]}))
+        outer, inner = maxent_lm.features(v.look_up(flat)[2], offsets)
+        last = lambda x: np.tile(x[-1:], (len(place), 1))
+        p = np.exp(maxent_lm.log_probability(w, v, place, kind, last(outer), last(inner)))
+        assert abs(p.sum() - 1) < 1e-3
+
+
+def test_scores_equal_brute_force(spark):
+    """The query's score, one token at a time with plain softmaxes."""
+    docs = common.table(spark, DATA, "documents").limit(60).cache()
+    out = common.crc_mod("doc_id", 7) == 2
+    v = maxent_lm.vocabulary(maxent_lm.count_tokens(docs.where(~out)))
+    w = maxent_lm.train(docs.where(~out).withColumn("__key", common.F.col("doc_id")), v)
+    known = {t: i for i, t in enumerate(v.tokens.to_pylist())}
+    got = {r.doc_id: r.score for r in maxent_lm.score(docs, out).collect()}
+    for r in docs.collect()[:12]:
+        tokens, total = WORD.findall((r.text or "").translate(LOW)) + ["\n"], 0.0
+        flat, offsets = maxent_lm.with_ends(pa.RecordBatch.from_pydict({"text": [r.text]}))
+        outer, inner = maxent_lm.features(maxent_lm.word_hashes(flat), offsets)
+        for j, t in enumerate(tokens):
+            i = known.get(t, -1)
+            c = int(v.kind[i]) if i >= 0 else int(maxent_lm.tail_class([t])[0])
+            a = w.outer[outer[j]].astype(float).sum(0)
+            total += a[c] - math.log(np.exp(a).sum())
+            if c < maxent_lm.HEAD_CLASSES:
+                a = w.inner[inner[j] * maxent_lm.HEAD_CLASSES + c].astype(float).sum(0)
+                total += a[i % maxent_lm.CLASS_SIZE] - math.log(np.exp(a).sum())
+            else:
+                k = c - maxent_lm.HEAD_CLASSES
+                total += math.log(((v.counts[i] if i >= 0 else 0) + 1) / (v.tail_n[k] + v.tail_v[k] + 1))
+        assert math.isclose(got[r.doc_id], total / math.log(10), rel_tol=1e-4)
+
+
+def test_language_model_of_odd_rows(spark, odd):
+    more = odd.union(odd.where("doc_id IN (1, 4)")).union(odd.where("doc_id = 9").withColumn("doc_id", common.F.lit(None).cast("long"))).withColumn("score", common.F.lit("x"))
+    got = maxent_lm.score(more, common.F.col("doc_id") == 7).collect()
+    assert len(got) == len(ODD) + 3 and len({r.score for r in got if r.doc_id == 1}) == 1
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    assert maxent_lm.score(more.limit(0), common.F.col("doc_id") == 7).count() == 0
+
+
 def test_both_softmaxes_have_every_feature():
     # texts (1, 2, 3) and (9, 2, 3): the last histories differ two tokens back alone
     for rows in maxent_lm.features(np.array([1, 2, 3, 9, 2, 3], np.uint64), np.array([0, 3, 6])):
@@ -203,9 +317,74 @@ def test_html():
 
 def test_html_long_tags():
     long = "<article><p>One two.</p><img src=data:" + "x" * 50_000 + "><object data=" + "y" * 50_000 + ">no</object><p>Three.</p></article>"
-    assert html_text.extract(long) == html_text.extract("<article><p>One two.</p><img><object>no</object><p>Three.</p></article>")
-    for hostile in ("<a", '<a "', "<a '\"", "<a =\"'"):
-        html_text.blocks(hostile * 100_000)  # ends soon: time is linear
+    assert html_text.extract(long) == html_text.extract("<article><p>One two.</p><img><object>no</object><p>Three.</p></article>") == "One two.\nThree."
+
+
+def all_text(page):
+    """The text outside of tags, one character at a time, for a page without raw
+    elements; blocks and what is refused don't matter here."""
+    out, at = [], 0
+    while at < len(page):
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 2)
+            at = len(page) if stop < 0 else stop + 3
+        elif re.match(r"<[!?]|</(?![a-zA-Z])", page[at : at + 3]):
+            stop = page.find(">", at)
+            at = len(page) if stop < 0 else stop + 1
+        elif re.match(r"</?[a-zA-Z]", page[at : at + 3]):
+            i, ends = re.compile(r"</?[^\s/>]*").match(page, at).end(), None
+            first = page.find(">", i)
+            while i < len(page):
+                if page[i] == ">":
+                    ends = i
+                    break
+                quoted = re.compile(r"=\s*([\"'])").match(page, i)
+                if quoted:
+                    stop = page.find(quoted[1], quoted.end())
+                    if stop < 0:
+                        ends = page.find(">", quoted.end())
+                        break
+                    i = stop
+                i += 1
+            ends = first if ends is None or ends < 0 else ends
+            at = len(page) if ends < 0 else ends + 1
+            out.append("\0")
+        else:
+            out.append(page[at])
+            at += 1
+    return "".join(out)
+
+
+def test_html_tags_equal_brute_force():
+    rng = np.random.default_rng(8)
+    bits = ["<p>", "<p ", "<b", "</b>", "</", "<!--", "-->", "<!x", "<3", "=", '"', "'", ">", "<a href=", "x", " y ", "/>", "<img alt='>'", "<div class=\"k\">", "</div>"]
+    for _ in range(4000):
+        page = "".join(bits[i] for i in rng.integers(0, len(bits), int(rng.integers(1, 25))))
+        tags, at, got = html_text.Tags(page), 0, []
+        while m := tags.token(at):
+            got.append(page[at : m[0]])
+            if m[2]:
+                got.append("\0")
+            at = m[1]
+        assert "".join(got) + page[at:] == all_text(page), page
+
+
+@pytest.mark.parametrize("piece", ["<p ", '<p ="', '<a "', "<a '\"", "<a =\"'", "<!x", "</ ", "<!--", "&", "<", '<a =">"', "<span class=ad>x", "<div>", "<script>x</script "])
+def test_html_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.extract(piece * 100_000)
+    assert time.process_time() - began < 10
+
+
+def test_html_of_odd_rows(spark):
+    good = "<article><p>" + "the cat of the dog is in the house and on it. " * 20_000 + "</p></article>"
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p>" + "x" * 10), (3, "u", good), (4, "u", '<article><p>One.</p><b class="x>Two</b><p>Three.</p></article>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", common.F.lit(1)).withColumn("n_chars", common.F.lit(None).cast("string"))
+    got = html_text.main_text(pages).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got if r.page_id in (1, 2, None)) == [(0, 0), (1, 0), (1, 0), (2, 0)]
+    assert [r.text for r in got if r.page_id == 3] == ["the cat of the dog is in the house and on it. " * 19_999 + "the cat of the dog is in the house and on it."]
+    assert [r.text for r in got if r.page_id == 4] == ["One.\nTwo\nThree."]
+    assert html_text.main_text(pages.limit(0)).count() == 0
 
 
 def test_language_id(spark, odd):
@@ -217,6 +396,27 @@ def test_language_id(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(odd.limit(0))).collect()} == {langid.UND}
 
 
+def test_languages_equal_brute_force(spark):
+    """The decoded codeword and its probability from plain sums over n-grams."""
+    docs = common.table(spark, DATA, "documents")
+    model = langid.train(docs.where(~langid.held_out(4, 2)))
+    got = {r.doc_id: r for r in langid.op6_language_id(spark, DATA).collect()}
+    for r in docs.collect()[:60]:
+        grams = np.concatenate(langid.buckets_of(np.frombuffer((" " + (r.text or "").lower() + " ").encode(), np.uint8)))
+        margins = [model.scale * sum(float(model.weights[g, b]) for g in grams) / len(grams) + model.bias[b] for b in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, word)) for word in model.code]
+        p = [math.exp(min(loss) - x) for x in loss]
+        if any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == model.langs[int(np.argmin(loss))] and math.isclose(got[r.doc_id].score, max(p) / sum(p), rel_tol=1e-6)
+
+
+def test_languages_of_odd_rows(spark, odd):
+    rows = odd.union(odd).withColumn("score", common.F.lit("kept")).union(spark.createDataFrame([(None, "x" * 1_500_000, "en", "x", 1, "kept")], odd.schema.simpleString()[7:-1].replace(":", " ") + ", score string"))
+    got = langid.identify(rows, langid.train(rows)).collect()
+    assert len(got) == 2 * len(ODD) + 1 and all(0 <= r.score <= 1 for r in got)
+    assert all(len({r.lang_pred for r in got if r.doc_id == d}) == 1 for d, _, _ in ODD)
+
+
 def test_pieces_equal_the_library(spark):
     data = sentencepieces.read_model()
     texts = [r.text for r in common.table(spark, DATA, "documents").collect()] + ["", "  a  b ", "<s> x", "日本 🎉", "\n\t\0", "▁▁a"]
@@ -253,6 +453,99 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 100, 0.0), (0, 2, 5, 1.0), (100, 1, 0, 0.0), (100, 2, 5, 1.0)]
 
 
+def test_partitions_and_probes(spark):
+    """Vectors in clumps: few partitions are visited, and the neighbours are found."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 16)) * 4, 100, 0) + rng.normal(size=(4000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    router, probes = ann.fit(ann.usable(df), 4000, 10, 0.93)
+    assert probes <= 4
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({v for _, v, _ in got[q]} & set(np.lexsort((np.arange(4000), d))[:10]))
+        assert all(math.isclose(s, d[v], rel_tol=1e-9) for _, v, s in got[q]) and [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
+    assert hits >= 0.9 * 400
+
+
+def test_vectors_with_ties_and_repeats(spark):
+    rows = [(i, [float(i // 4), 1.0]) for i in range(0, 40)] + [(100, [0.0, 1.0]), (100, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", common.F.lit("x")).withColumn("parts", common.F.lit(1))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, k=5).collect() if r.query_id == 100]
+    assert sorted(got) == [(100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 0.0), (100, 4, 3, 0.0), (100, 5, 4, 1.0)]
+    assert ann.search(df.limit(0)).count() == 0
+
+
+CLASH = ["__key", "__k", "__spans", "__kept", "_bad", "_bad_h", "h", "k", "v", "root", "leaf", "key", "d", "g", "c0", "n_chars", "score", "ids"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(d, t, *([f"{d}"] * len(CLASH))) for d, t, _ in ODD] + [(1, ODD[0][1], *(["again"] * len(CLASH))), (None, "one two", *([None] * len(CLASH))), (20, "very long " * 150_000, *(["x"] * len(CLASH)))]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH)
+    return spark.createDataFrame(rows, schema).withColumn("n_chars", common.F.length("text").cast("long"))
+
+
+def stages(spark):
+    items = spark.createDataFrame([(4, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (None, "w1"), (5, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (9, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    return {
+        "toxicity": lambda df: toxicity.keep_clean(df, labels), "near_duplicates": jaccard_join.keep_first,
+        "repeated_passages": substring_dedup.remove_repeats, "decontamination": lambda df: decontaminate.decontaminate(df, items),
+    }
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "repeated_passages", "decontamination"])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_stages_keep_columns_of_any_name(spark, clashing, name, kind):
+    df = clashing.withColumn("doc_id", common.F.col("doc_id").cast(kind))
+    out = stages(spark)[name](df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    rows = out.collect()
+    assert rows and all(r[c] == r["score"] for r in rows for c in CLASH if c != "n_chars")
+    assert stages(spark)[name](df.limit(0)).count() == 0
+    ids = sorted(int(r.doc_id) if r.doc_id is not None else -1 for r in rows)
+    want = {"near_duplicates": [-1, 1, 2, 3, 4, 5, 6, 8, 9, 20], "repeated_passages": [-1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20], "decontamination": [-1, 2, 3, 4, 5, 6, 8, 9, 10, 20]}
+    if name in want and kind == "long":
+        assert ids == want[name]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_operators_of_any_names_and_ids(spark, clashing, kind):
+    df = clashing.withColumn("doc_id", common.F.col("doc_id").cast(kind))
+    n = df.count()
+    items = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for out in (
+        sentencepieces.encode(df), substring_dedup.digests(df), jaccard_join.classes(df), decontaminate.contamination(df, items), maxent_lm.score(df, common.F.col("doc_id") == "7"),
+        langid.identify(df, langid.train(df.withColumn("lang", common.F.lit("en")))),
+    ):
+        assert dict(out.dtypes)["doc_id"] == ("bigint" if kind == "long" else kind)
+        assert out.count() == n
+    empty = df.limit(0)
+    assert sentencepieces.encode(empty).count() == decontaminate.contamination(empty, items).count() == jaccard_join.classes(empty).count() == 0
+    assert decontaminate.contamination(df, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_urls_of_odd_tables(spark):
+    urls = spark.createDataFrame([(1, "x://a.com/1", "q"), (1, "x://a.com/1", "q"), (None, "x://a.com/", None), (2, "x://" + "h" * 1_200_000, "q")], "page_id long, url string, host string").withColumn("rule", common.F.lit(1)).withColumn("n", common.F.lit(1))
+    good = spark.createDataFrame([(1, 0), (1, 1), (None, 0)], "page_id long, good int")
+    got = url_filters.judge(urls, good).collect()
+    assert len(got) == 4 and len({r.verdict for r in got if r.page_id == 1}) == 1
+    assert url_filters.judge(urls.limit(0), good).count() == 0 and url_filters.judge(urls, good.limit(0)).where("verdict = 'allow'").count() == 4
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://somewhere:7077", raising=False)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            common.shared_dir(spark)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
