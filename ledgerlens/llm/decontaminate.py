@@ -56,8 +56,9 @@ def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
     side. Windows with a word that no document has are gone."""
     each = windows.dropDuplicates(["wid"])
     parts = each.select("wid", F.posexplode("window").alias("back", "token")).withColumn("word", F.lower("token"))
+    asked = materialize(parts.select("word").distinct())  # a table, so that its size is known
     tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("token")).select(F.lower("token").alias("word"))
-    counts = tokens.join(parts.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = tokens.join(asked, "word").groupBy("word").agg(F.count("*").alias("n"))
     ranked = parts.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "back")).alias("best"))
     back = F.col("best.back")
     return ranked.where("best.n > 0").join(each, "wid").select(
@@ -97,6 +98,7 @@ def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, width: int) -> D
     own, as is all it builds on: every pass over the texts is made once."""
     index = materialize(prefix_index(docs, windows))
     maybe = candidates(docs, index).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("start", "len", "wid", "phrase")).alias("maybe"))
+    maybe = materialize(maybe)
     base = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     both = base.join(maybe, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     split = both.select("doc_id", "h", words(F.col("text")).alias("w"), "maybe")
