@@ -7,10 +7,11 @@ candidates. A candidate must leave room for the whole window before and after
 it, the hashes of the words beside it must agree, and the words in place are then
 compared exactly.
 
-DataFrame expressions only, and one plan at every size: whether a side is broadcast
-is left to the optimiser, which knows the size of the written tables. The texts are
-split three times: to count the words that windows have, to find candidates, and to
-compare these.
+DataFrame expressions only, and one plan at every size: the windows are rows of
+hashes, of a fixed width, and at most ``BROADCAST_ROWS`` of them are broadcast at a
+time, with one pass over the texts for each such chunk; no row for each word of a
+text is ever shuffled. The texts are split once to count the words that windows have,
+once to find occurrences, and once to count words.
 
 Defined cases: null or wordless texts have no words, hit nothing and are hit by
 nothing; items with the same windows are all named; items of null id take no
@@ -22,6 +23,9 @@ whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from .common import LOWER, UPPER, lower_az, materialize, table
 
 #: What separates words; A-Z are left in place, and lower-cased later.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Rows of about 60 bytes.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -44,44 +50,54 @@ def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     return out.withColumn("wid", F.md5(F.array_join("window", " "))).distinct()
 
 
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def neighbour(w: str, at: Column) -> Column:
     """Hash of the word at a place from 0; null outside."""
     word = F.get(w, at)
-    return F.when(word.isNotNull(), F.xxhash64(F.lower(word)))
+    return F.when(word.isNotNull(), word_hash(word))
+
+
+def in_chunks(small: DataFrame, key: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of joins with a table of fixed-width rows, so many of which are
+    broadcast at a time; one pass for each chunk, mostly one."""
+    n = max(1, -(-small.count() // BROADCAST_ROWS))
+    return reduce(DataFrame.union, [join(F.broadcast(small.where(F.pmod(F.xxhash64(key), F.lit(n)) == i))) for i in range(n)])
 
 
 def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(word, back, len, wid, phrase, before, after): each distinct window under its
-    rarest word, ``back`` words after its start, with hashes of the words on either
-    side. Windows with a word that no document has are gone."""
+    """(word, back, len, wid, before, after): each distinct window under the hash of
+    its rarest word, ``back`` words after its start, with hashes of the words on
+    either side. Windows with a word that no document has are gone."""
     each = windows.dropDuplicates(["wid"])
-    parts = each.select("wid", F.posexplode("window").alias("back", "token")).withColumn("word", F.lower("token"))
-    asked = materialize(parts.select("word").distinct())  # a table, so that its size is known
-    tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("token")).select(F.lower("token").alias("word"))
-    counts = tokens.join(asked, "word").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = parts.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "back")).alias("best"))
+    parts = each.select("wid", F.posexplode("window").alias("back", "token")).withColumn("word", word_hash(F.col("token")))
+    asked = materialize(parts.select("word").distinct())
+    tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("token")).select(word_hash(F.col("token")).alias("word"))
+    counts = in_chunks(asked, "word", lambda some: tokens.join(some, "word").groupBy("word").agg(F.count("*").alias("n")))
+    ranked = parts.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "word", "back")).alias("best"))
     back = F.col("best.back")
     return ranked.where("best.n > 0").join(each, "wid").select(
-        "wid", "best.word", "best.back", F.size("window").alias("len"), F.array_join("window", " ").alias("phrase"),
-        neighbour("window", back - 1).alias("before"), neighbour("window", back + 1).alias("after"),
+        "wid", "best.word", "best.back", F.size("window").alias("len"), neighbour("window", back - 1).alias("before"), neighbour("window", back + 1).alias("after")
     )
 
 
-def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, h, start, len, wid, phrase) of places that may hold a window: its
-    rarest word is there with the right neighbours, and there is room for it. A row
-    of one word and two hashes for each word of the text is all that such a join
-    would shuffle. Outer generators, as inner ones get a size filter that splits the
-    text twice."""
+def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, h, start, stop, wid) of every window in a document. Where the hashes
+    of the rarest word and its neighbours agree and there is room for the window, the
+    words in place are taken along and compared with it. Outer generators, as inner
+    ones get a size filter that splits the text twice."""
+    index = materialize(prefix_index(docs, windows))
     split = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    tokens = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token"))
-    tokens = tokens.select(
-        "doc_id", "h", "pos", F.size("w").alias("n"), F.lower("token").alias("word"),
-        neighbour("w", F.col("pos") - 1).alias("left"), neighbour("w", F.col("pos") + 1).alias("right"),
-    )
+    tokens = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "token")).withColumn("word", word_hash(F.col("token")))
     start = F.col("pos") - F.col("back")
-    beside = (F.col("before").isNull() | (F.col("before") == F.col("left"))) & (F.col("after").isNull() | (F.col("after") == F.col("right")))
-    return tokens.join(index, "word").where((start >= 0) & (start + F.col("len") <= F.col("n")) & beside).select("doc_id", "h", start.alias("start"), "len", "wid", "phrase")
+    same = lambda x, place: F.col(x).isNull() | (F.col(x) == neighbour("w", place))
+    fits = (start >= 0) & (start + F.col("len") <= F.size("w")) & same("before", F.col("pos") - 1) & same("after", F.col("pos") + 1)
+    found = lower_az(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "))
+    maybe = in_chunks(index, "word", lambda some: tokens.join(some, "word").where(fits).select("doc_id", "h", start.alias("start"), (start + F.col("len")).alias("stop"), "wid", found.alias("found")))
+    phrases = windows.select(F.col("wid"), F.array_join("window", " ").alias("phrase")).dropDuplicates(["wid"])
+    return materialize(maybe.distinct()).join(phrases, "wid").where("found = phrase").select("doc_id", "h", "start", "stop", "wid")
 
 
 def covered(spans: Column) -> Column:
@@ -93,49 +109,35 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """One row for each row of docs: doc_id, h, n_words, n_hit, wids. A table of its
-    own, as is all it builds on: every pass over the texts is made once."""
-    index = materialize(prefix_index(docs, windows))
-    maybe = candidates(docs, index).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set(F.struct("start", "len", "wid", "phrase")).alias("maybe"))
-    maybe = materialize(maybe)
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    both = base.join(maybe, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    split = both.select("doc_id", "h", words(F.col("text")).alias("w"), "maybe")
-    equal = lambda x: lower_az(F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ")) == x["phrase"]
-    true = split.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.filter("maybe", equal).alias("true"))
-    spans = F.array_sort(F.array_distinct(F.transform("true", lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["len"]).alias("stop")))))
-    out = true.select("doc_id", "h", "n_words", F.coalesce(covered(spans), F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("true", lambda x: x["wid"])).alias("wids"))
-    return materialize(out)
-
-
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """One row for each row of docs(doc_id, text): n_words, n_hit, n_items,
-    items_sha256, contaminated, items."""
+    items_sha256, contaminated, items, and h, the hash of the text."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     windows = materialize(benchmark_windows(items, width))
-    rows = hits(docs, items, windows, width)
+    hits = materialize(occurrences(docs, windows))
     names = windows.select("wid", F.col("item_id").cast("string").alias("item"))
-    hit = rows.where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.explode("wids").alias("wid")).distinct()
-    named = hit.join(names, "wid").groupBy("d", "g").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    items_of = F.coalesce("names", F.array().cast("array<string>"))
-    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
-        "doc_id", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items_of.alias("items"),
+    named = hits.select("doc_id", "h", "wid").distinct().join(names, "wid").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    spans = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered(F.col("spans")).cast("long").alias("n_hit"))
+    per_doc = materialize(named.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("d", "g", "n_hit", "names"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    hit, items_of = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("names", F.array().cast("array<string>"))
+    return base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), items_of.alias("items"), "h",
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs, all columns kept whatever their names, whose text holds no
     benchmark window."""
-    narrow = docs.select("doc_id", "text")
-    rows = hits(narrow, items, materialize(benchmark_windows(items.select("item_id", "text"), width)), width)
-    bad = rows.where("n_hit > 0")  # read from a table: no name of it can be meant by one of docs
+    hits = occurrences(docs.select("doc_id", "text"), materialize(benchmark_windows(items.select("item_id", "text"), width)))
+    bad = materialize(hits.select("doc_id", "h").distinct())  # read from a table: no name of it can be meant by one of docs
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "h")
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -177,13 +177,14 @@ def brute_decontamination(docs, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_decontamination_equals_brute_force(spark, threshold):
-    """With the joins that the optimiser picks, and with none of them broadcast."""
+@pytest.mark.parametrize("rows", [500_000, 300])
+def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
+    """With one chunk of windows, and with many; no join is broadcast but for these."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     docs, items = (common.table(spark, DATA, t).select(n, "text") for t, n in (("documents", "doc_id"), ("benchmark", "item_id")))
     more = [(1000, "The of"), (1001, "of"), (1002, None), (1003, " . "), (None, "the"), (1004, "of the of the of the of the of the of the")]
     items = items.union(spark.createDataFrame(more, "item_id long, text string"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
     finally:
