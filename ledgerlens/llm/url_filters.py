@@ -8,12 +8,15 @@ lies above ``max_bad``; a host without labels inherits its domain's posterior.
 
 DataFrame expressions only. Hosts are counted before they are shuffled, and the
 join back to the urls is a plain equi-join, which adaptive execution splits for
-hot hosts. Only four numbers reach the driver.
+hot hosts; rules are joined with each host once, by its suffixes. Only four numbers
+reach the driver.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is judged by the overall rate; labels of null outcome or null id count for
 nothing; of several labels for one id the worst counts; repeated urls are judged
-alike, each row once; no labels at all: everything is allowed but for rules.
+alike, each row once; no labels at all: everything is allowed but for rules; of
+rules of one length a blocking one wins; extra columns, whatever their names, are
+left out; long urls are judged whole.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Suffixes of two labels under which domains are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "co.nz", "co.za", "com.br")
-MAX_RULES = 256
+#: Labels under which domains are registered below country codes, and
+#: hosts whose subdomains belong to different owners.
+SECOND_LABELS = "ac co com edu gob gov ltd mil ne net nom or org plc sch".split()
+SHARED_HOSTS = "appspot.com blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev tumblr.com vercel.app web.app weebly.com wixsite.com wordpress.com".split()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,20 +46,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_az(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest fitting rule and its action; null if none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    rule = action = F.lit(None).cast("string")
-    for act, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[0] == "block")):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule, action = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(act)).otherwise(action)
-    return rule, action
+def fitting_rules(hosts: DataFrame, rules) -> DataFrame:
+    """hosts(host), each once: (host, fits), the rules of the host and of all that it
+    is below, as (length, blocks, rule, path, action). Any number of rules."""
+    parts = [F.struct(F.lit(a).alias("action"), F.lit(h).alias("suffix"), F.lit(p).alias("path")) for a, h, p in rules]
+    table = hosts.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("r")).select("r.*") if parts else None
+    if table is None:
+        return hosts.select("host", F.array().cast("array<struct<length:int,blocks:boolean,rule:string,path:string,action:string>>").alias("fits"))
+    labels = F.split("host", r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = hosts.select("host", F.explode(below).alias("suffix")).join(table, "suffix")
+    rule = F.concat("suffix", "path")
+    return found.groupBy("host").agg(F.collect_list(F.struct(F.length(rule).alias("length"), (F.col("action") == "block").alias("blocks"), rule.alias("rule"), "path", "action")).alias("fits"))
 
 
 def registered(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The part of a host that was registered: below a suffix of one label, or of two
+    under a country code, or below a shared host."""
+    two, last = F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    long = (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*SECOND_LABELS) | two.isin(*SHARED_HOSTS)
+    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def suffix_of(domain: Column) -> Column:
@@ -105,9 +115,10 @@ def judge(urls: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.
         .agg(F.count("good").alias("n"), F.coalesce(F.sum(F.when(F.col("good") == 0, 1).otherwise(0)), F.lit(0)).alias("k"))
     )
     blocked = reputation(hosts, z).where(F.col("bad_low") > max_bad).select("host", F.lit("block").alias("_method"))
-    rule, action = rule_columns(F.col("host"), F.col("path"), rules)
-    return parsed.join(blocked, "host", "left").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.col("_method"), F.lit("allow")).alias("verdict")
+    known = hosts.select("host").join(blocked, "host", "left").join(fitting_rules(hosts.select("host"), rules), "host", "left").where("_method IS NOT NULL OR fits IS NOT NULL")
+    longest = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])))
+    return parsed.join(known, "host", "left").withColumn("_rule", longest).select(
+        "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", "_method", F.lit("allow")).alias("verdict")
     )
 
 
@@ -133,7 +144,7 @@ def _strength_sql(level: str) -> str:
       FROM (SELECT CAST(n AS DOUBLE) AS n, k, p FROM {level}, total WHERE n > 0)))"""
 
 
-_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
+_LABELS, _HOSTS = (", ".join(f"'{s}'" for s in x) for x in (SECOND_LABELS, SHARED_HOSTS))
 ORACLE_SQL = f"""
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -145,7 +156,7 @@ h0 AS (
   SELECT host, count(good) AS n, coalesce(sum(CASE WHEN good = 0 THEN 1 ELSE 0 END), 0) AS k, string_split(host, '.') AS w
   FROM parsed LEFT JOIN worst ON page_id = doc_id GROUP BY host),
 h1 AS (SELECT *, array_to_string(w[greatest(1, len(w) - 1):], '.') AS two, array_to_string(w[greatest(1, len(w) - 2):], '.') AS three FROM h0),
-h2 AS (SELECT host, n, k, CASE WHEN two IN ({_LONG}) THEN three ELSE two END AS domain FROM h1),
+h2 AS (SELECT host, n, k, CASE WHEN length(w[len(w)]) = 2 AND w[greatest(1, len(w) - 1)] IN ({_LABELS}) OR two IN ({_HOSTS}) THEN three ELSE two END AS domain FROM h1),
 h AS (SELECT *, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM h2),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
