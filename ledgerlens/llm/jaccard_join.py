@@ -52,6 +52,8 @@ from .substring_dedup import Pool, signed
 #: Shingles of a leaf, on average.
 LEAF = 1 << 15
 ROWS_AT_ONCE = 600_000
+#: Keys that a task compares, on average: 40 MB of them.
+TASK_ROWS = 2_000_000
 #: Children of a node, bits of a bitmap for each shingle, and node pairs at once.
 FAN, SPREAD, AT_ONCE = 4, 64, 20_000
 KEY = "__key"
@@ -267,7 +269,12 @@ def families(keyed_sets: DataFrame, num: int, den: int) -> DataFrame:
             yield joined()
 
     out = keyed_sets.select(KEY, "n", "keys").mapInArrow(emit, "t long, lo int, hi int, k long, b long")
-    return out.repartition("t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
+    # a document is named once by each task that has links of it, so tasks are as large
+    # as the data gives, whatever the number of partitions is set to; they stream what
+    # Spark has sorted, and need no more memory for that
+    rows = keyed_sets.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    tasks = max(1, round(rows / TASK_ROWS))
+    return out.repartition(tasks, "t").sortWithinPartitions("t").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -428,8 +435,9 @@ def leaves(member: DataFrame) -> DataFrame:
     hash, then at random where many have the same."""
 
     def cut(df: DataFrame, by: list[str], name: str) -> DataFrame:
-        sums = df.groupBy(*by).agg(F.ceil(F.sum(F.col("n").cast("long")) / LEAF).alias(name))
-        return df.join(sums, by)
+        # a table of those that need cutting alone, which are few: the members stay where they are
+        sums = df.groupBy(*by).agg(F.ceil(F.sum(F.col("n").cast("long")) / LEAF).alias(name)).where(f"{name} > 1")
+        return df.join(materialize(sums), by, "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long")))
 
     out = cut(member, ["root"], "size").withColumn("class", F.when(F.col("size") > 1, F.col("grade")).otherwise(-1))
     out = cut(out, ["root", "class"], "cells").withColumn("cell", F.pmod("low", "cells"))
@@ -471,13 +479,15 @@ def compare(docs: DataFrame, placed: DataFrame, k: int, num: int, den: int) -> D
             del group, text
             give_back()
 
-    with_text = docs.select(KEY, "text").join(placed, docs[KEY] == placed["v"]).select("leaf", "side", "label", KEY, "text")
+    with_text = docs.select(KEY, "text").hint("merge").join(placed, docs[KEY] == placed["v"]).select("leaf", "side", "label", KEY, "text")
     return with_text.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """docs(__key, text), member(v, root, n, grade, low) of families: (v, label) of
     every member, label being the smallest of its true component."""
+    # the texts of families, a part of all, once; one kind of join at every size
+    docs = materialize(docs.select(KEY, "text").hint("merge").join(member.select("v"), F.col(KEY) == F.col("v"), "left_semi"))
     level = materialize(leaves(member))
     one = F.lit(0).cast("byte").alias("side")
     placed = level.select("v", "leaf", one, F.col("v").alias("label"))
