@@ -217,12 +217,13 @@ def wait_applied(reads: DataFrame, applies: DataFrame, patience_ms: int = 5000)
     place = lambda c: F.floor(F.col(c) / width)
     heads = applies.groupBy(place("idx").alias("b")).agg(F.min_by("applied_ms", "idx").alias("head_ms"))
     heads = heads.union(reads.select(place("at").alias("b"), F.lit(None).cast("long")).distinct()).groupBy("b").agg(F.max("head_ms").alias("head_ms"))
-    ahead = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.withColumn("next_ms", F.first("head_ms", ignorenulls=True).over(ahead))  # one row a range
+    # read backwards, frames grow and keep one value
+    ahead = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("next_ms", F.last("head_ms", ignorenulls=True).over(ahead))  # one row a range
     facts = applies.select(place("idx").alias("b"), F.col("idx").alias("at"), F.lit(None).cast("long").alias("read"), F.lit(None).cast("long").alias("asked_ms"), "applied_ms")
     asked = reads.select(place("at").alias("b"), "at", F.col("read").cast("long").alias("read"), "asked_ms", F.lit(None).cast("long").alias("applied_ms"))
-    order = Window.partitionBy("b").orderBy("at", F.col("read").isNull()).rowsBetween(0, Window.unboundedFollowing)
-    near = facts.union(asked).withColumn("own_ms", F.first("applied_ms", ignorenulls=True).over(order)).where("read IS NOT NULL")
+    order = Window.partitionBy("b").orderBy(F.desc("at"), F.col("read").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = facts.union(asked).withColumn("own_ms", F.last("applied_ms", ignorenulls=True).over(order)).where("read IS NOT NULL")
     out = near.join(heads, "b")
     done = F.coalesce("own_ms", "next_ms")
     return out.select("read", F.when(done <= F.col("asked_ms") + patience_ms, F.greatest(done, F.col("asked_ms"))).alias("applied_ms"))

@@ -21,10 +21,6 @@ PROPOSE_BUCKETS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0,
 READ_BUCKETS = (0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1)
 
 
-def role_int(samples: DataFrame) -> DataFrame:
-    return samples.select("role").distinct().select("role", role_code(F.col("role")).alias("code"))
-
-
 def with_role_code(samples: DataFrame) -> DataFrame:
     return samples.withColumn("role_code", role_code(F.col("role")))
 

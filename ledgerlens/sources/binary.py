@@ -282,12 +282,12 @@ def write_frames(rows: DataFrame, path: str, file: str, order: str) -> None:
     from pyarrow import fs
 
     ship(rows.sparkSession)
-    target = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    target = path if "://" in path else f"file://{path.removeprefix('file:')}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(target.replace("file:///", "file:///"))
+        system, root = fs.FileSystem.from_uri(target)
         system.create_dir(root, recursive=True)
         name, out, tmp = None, None, ""
 

@@ -22,15 +22,15 @@ Stream = Callable[[DataFrame], DataFrame]
 
 
 def exactly_once(log: DataFrame) -> DataFrame:
-    """Where each command's pair was first seen; untracked ones are pairs of their own."""
-    tracked = (F.col("client_id") != "") & (F.col("request_id") != 0)
-    rows = log.select("client_id", "request_id", F.when(tracked, 0).otherwise(F.col("idx")).alias("own"), "idx")
+    """Where each command's pair was first seen, with one state a client: its requests
+    so far. Untracked commands are their own first."""
 
     def step(first, row):
-        first = row[3] if first is None else first
-        return first, (row[3], first, row[3] != first)
+        client, idx, request = row
+        at = first.setdefault(request, idx) if client and request else idx
+        return first, (idx, at, idx != at)
 
-    return streaming_fold(rows, ["client_id", "request_id", "own"], ["idx"], lambda: None, step, "idx long, first_idx long, duplicate boolean")
+    return streaming_fold(log.select("client_id", "idx", "request_id"), ["client_id"], ["idx"], dict, step, "idx long, first_idx long, duplicate boolean")
 
 
 def cooldown(attempts: DataFrame, seconds: int) -> DataFrame:

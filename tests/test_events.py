@@ -213,6 +213,15 @@ def test_recovery_of_a_log(spark):
     assert sorted(map(tuple, replog.surviving(again).collect())) == [(1, 3, 2), (2, 1, 1)] and sorted(map(tuple, replog.hard_state(again).collect())) == [(1, 2, 3), (2, 0, 0)]
 
 
+def test_log_records_are_appended_by_node(spark, tmp_path):
+    rows = [(1, 0, 2, 1, 1, 0), (2, 0, 1, 4, 0, 2), (1, 1, 2, 1, 2, 0)]
+    wal = spark.createDataFrame(rows, "node_id long, seq long, tag int, term long, index_or_from long, voted_for long")
+    for part in (wal.where("seq = 0"), wal.where("seq = 1")):
+        snapshots.persist(part, str(tmp_path / "wal"))
+    back = spark.read.parquet(str(tmp_path / "wal"))
+    assert sorted(map(tuple, back.select(*wal.columns).collect())) == sorted(rows)
+
+
 def brute_append(ours, first, prev, prev_term, entries):
     """ours: terms by index beyond the sentinel ``first`` (index, term)."""
     terms = {first[0]: first[1]} | ours
