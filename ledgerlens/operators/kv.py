@@ -74,10 +74,10 @@ def _windows(rows: DataFrame) -> DataFrame:
 def results_of(rows: DataFrame) -> DataFrame:
     """rows(idx, op, v, expect, key) of executed commands: (key, idx, found, value,
     after), the answer and the key's value once it has run."""
-    rows = rows.select("idx", "op", "v", "expect", "key")
-    swapped = rows.where(F.col("op") == CAS).select("key").distinct()
-    plain = _windows(rows.join(swapped, "key", "left_anti"))
-    return plain.union(ordered_fold(rows.join(swapped, "key", "left_semi").select(*rows.columns), ["key"], ["idx"], lambda: None, step, RESULT))
+    names = ["idx", "op", "v", "expect", "key"]
+    rows = rows.select(*names).withColumn("swaps", F.max(F.col("op") == CAS).over(Window.partitionBy("key")))
+    plain = _windows(rows.where("NOT swaps").select(*names))
+    return plain.union(ordered_fold(rows.where("swaps").select(*names), ["key"], ["idx"], lambda: None, step, RESULT))
 
 
 def results(log: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
