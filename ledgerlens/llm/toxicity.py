@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, ship, table, text_slices, words_of
+from .common import crc_mod, fresh, ship, table, text_slices, word_hashes, words_of
 
 BLOCK, FIRST, AT_ONCE, DENSE = 256, 4, 128, 512
 #: Added to every term's likelihood ratio.
@@ -42,15 +42,35 @@ def term_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words_of(pc.replace_substring_regex(pc.utf8_lower(fresh(texts)), r"[^\p{L}\p{M}]+", " "), lower=False)
 
 
-def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of the given terms, sorted by row and term."""
-    flat, offsets = term_lists(texts)
-    found = pc.index_in(flat, terms.cast(flat.type))
-    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-    row = np.searchsorted(offsets, at, side="right") - 1
-    key = row * len(terms) + pc.fill_null(found, 0).to_numpy()[at]
-    key, n = np.unique(key, return_counts=True)
-    return key // max(1, len(terms)), key % max(1, len(terms)), n
+class Terms:
+    """Terms to look up by sorted hash; what is found is compared as text."""
+
+    def __init__(self, terms: list[str] | pa.Array) -> None:
+        self.values = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.large_string())
+        hashes = word_hashes(self.values)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def __reduce__(self):
+        return Terms, (self.values,)
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the terms in the texts, sorted by row and term."""
+        flat, offsets = term_lists(texts)
+        coded, size = flat.dictionary_encode(), max(1, len(self))
+        each = coded.dictionary
+        place = np.full(len(each), -1)
+        if len(self) and len(each):
+            near = self.order[np.minimum(np.searchsorted(self.hashes, word_hashes(each)), len(self) - 1)]
+            same = pc.equal(self.values.take(pa.array(near)), each.cast(pa.large_string())).to_numpy(zero_copy_only=False)
+            place[same] = near[same]
+        found = place[coded.indices.to_numpy()]
+        at = np.flatnonzero(found >= 0)
+        key, n = np.unique((np.searchsorted(offsets, at, side="right") - 1) * size + found[at], return_counts=True)
+        return key // size, key % size, n
 
 
 def spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,40 +81,69 @@ def spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(ends[-1] if len(ends) else 0) + (starts - (ends - size))[of], of
 
 
+def alike(matrix: np.ndarray, rows: np.ndarray) -> list[int]:
+    """The rows in an order that puts like beside like: halved along the direction in
+    which they differ most, down to blocks."""
+    if len(rows) <= BLOCK or not matrix.shape[1]:
+        return rows.tolist()
+    x = matrix[rows] - matrix[rows].mean(0)
+    way = np.abs(x).sum(0)
+    for _ in range(12):
+        way = x.T @ (x @ way)
+        way /= np.linalg.norm(way) or 1.0
+    order = rows[np.argsort(x @ way, kind="stable")]
+    half = -(-len(rows) // BLOCK) // 2 * BLOCK
+    return alike(matrix, order[:half]) + alike(matrix, order[half:])
+
+
 class BlockMaxIndex:
     """Unit vectors of examples as postings by term; the postings of one term and
-    block are a cell with its largest weight. Rows are renumbered by their heaviest
-    term, then by id, and blocks are runs of rows. Cells of the ``DENSE`` most
-    frequent terms are stored as matrices, one a block, the others as lists."""
+    block are a cell with its largest weight. Rows are renumbered so that blocks,
+    runs of rows, hold examples alike in their frequent terms. Cells of the ``DENSE``
+    most frequent terms are stored as matrices, one a block, the others as lists."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
         weights = weights / np.sqrt(np.bincount(rows, weights**2, len(ids)))[rows]
-        heavy = np.full(len(ids), -1)
-        order = np.argsort(weights, kind="stable")
-        heavy[rows[order]] = terms[order]  # the last one written is the heaviest
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        self.common = common[df[common] * 16 >= len(ids)]
+        place = np.full(n_terms, -1)
+        place[self.common] = np.arange(len(self.common))
+        full = np.flatnonzero(place[terms] >= 0)
+        matrix = np.zeros((len(ids), len(self.common)))
+        matrix[rows[full], place[terms[full]]] = weights[full]
+        by = np.array(alike(matrix, np.argsort(ids, kind="stable")), np.int64)
         place = np.empty(len(ids), np.int64)
-        by = np.lexsort((ids, heavy))
         place[by] = np.arange(len(ids))
         self.ids, self.labels, rows = ids[by], labels[by], place[rows]
         order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order], weights[order]
-        self.blocks = -(-len(ids) // BLOCK)
-        cell = terms[order] * self.blocks + self.rows // BLOCK
+        self.rows, self.weights, self.df = rows[order].astype(np.int32), weights[order], df.astype(np.int32)
+        self._cells()
+
+    def _cells(self) -> None:
+        """What follows from the postings; it isn't sent along."""
+        n_terms, terms = len(self.df), np.repeat(np.arange(len(self.df)), self.df)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        cell = terms * self.blocks + self.rows // BLOCK
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
         self.edges = np.concatenate([head, [len(cell)]])
         self.block = cell[head] % max(1, self.blocks)
         self.top = np.maximum.reduceat(self.weights, head) if len(head) else np.empty(0)
         self.starts = np.searchsorted(cell[head] // max(1, self.blocks), np.arange(n_terms + 1))
-        df = np.bincount(terms, minlength=n_terms)
-        common = np.argsort(-df, kind="stable")[:DENSE]
-        common = common[df[common] * 16 >= len(ids)]
         self.place = np.full(n_terms, -1)
-        self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), BLOCK))
-        at = self.place[terms[order]]
+        self.place[self.common] = np.arange(len(self.common))
+        at = self.place[terms]
         full = np.flatnonzero(at >= 0)
+        self.dense = np.zeros((self.blocks, len(self.common), BLOCK))
         self.dense[self.rows[full] // BLOCK, at[full], self.rows[full] % BLOCK] = self.weights[full]
 
+    def __getstate__(self):
+        return {k: getattr(self, k) for k in ("ids", "labels", "rows", "weights", "df", "common")}
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(state)
+        self._cells()
+
     def nearest(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For texts with terms[at[i]:at[i + 1]]: positions and cosines of the k
         nearest examples, nearest first; cosine 0 where there are fewer with a
@@ -114,7 +163,7 @@ class BlockMaxIndex:
         cells, owner, weight, block = cells[rare], owner[rare], weight[rare], block[rare]
         sums, kept = np.zeros((n, wide)), min(k, size)
 
-        def visit(which: np.ndarray) -> np.ndarray:
+        def visit(which: np.ndarray) -> None:
             for b in np.flatnonzero(which.any(0)):
                 rows = np.flatnonzero(which[:, b])
                 sums[rows, b * BLOCK : (b + 1) * BLOCK] += asked[rows] @ self.dense[b]
@@ -122,15 +171,18 @@ class BlockMaxIndex:
             start, stop = self.edges[cells[use]], self.edges[cells[use] + 1]
             found, _ = spread(start, stop)
             key = np.repeat(owner[use] * wide, stop - start) + self.rows[found]
-            sums.ravel()[:] += np.bincount(key, np.repeat(weight[use], stop - start) * self.weights[found], n * wide)
+            np.add(sums.ravel(), np.bincount(key, np.repeat(weight[use], stop - start) * self.weights[found], n * wide), out=sums.reshape(-1))
             if but is not None:
                 sums[np.arange(n), but] = 0.0
-            return np.partition(sums, wide - kept, 1)[:, wide - kept]
 
+        top = np.argsort(-bound, 1, kind="stable")[:, :FIRST]
         first = np.zeros((n, self.blocks), bool)
-        np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
-        least = visit(first)
-        least = visit(~first & (bound > 0) & (bound >= least[:, None] - 1e-9))
+        np.put_along_axis(first, top, True, 1)
+        visit(first)
+        # the k-th best of the first blocks can only rise
+        seen = sums.reshape(n, self.blocks, BLOCK)[np.arange(n)[:, None], top].reshape(n, -1)
+        least = np.partition(seen, seen.shape[1] - kept, 1)[:, seen.shape[1] - kept] if seen.shape[1] > kept else np.zeros(n)
+        visit(~first & (bound > 0) & (bound >= least[:, None] - 1e-9))
         best, cosine = np.zeros((n, kept), np.int64), np.zeros((n, kept))
         for i in range(n):
             near = np.flatnonzero(sums[i] >= max(least[i] - 1e-11, 1e-11))
@@ -160,7 +212,7 @@ def odds(p: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, terms: list[str], weight: np.ndarray, index: BlockMaxIndex | None, base: float, k: int, prior: float) -> None:
+    def __init__(self, terms: Terms, weight: np.ndarray, index: BlockMaxIndex | None, base: float, k: int, prior: float) -> None:
         self.terms, self.weight, self.index, self.base, self.k, self.prior = terms, weight, index, base, k, prior
         self.curve = (1.0, 0.0)
 
@@ -171,9 +223,9 @@ class Model:
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         """Scores, and the ids of the examples that voted, nearest first."""
-        if not self.terms:
+        if self.index is None:
             return np.full(len(texts), self.base), [[]] * len(texts)
-        row, term, n = term_counts(texts, pa.array(self.terms, pa.large_string()))
+        row, term, n = self.terms.counts(texts)
         at = np.searchsorted(row, np.arange(len(texts) + 1))
         score, ids = np.empty(len(texts)), []
         for s in range(0, len(texts), AT_ONCE):
@@ -217,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int =
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, terms array<string>, counts array<int>"
     full = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, schema).toArrow().combine_chunks()
     if not full.num_rows:
-        return Model([], np.empty(0), None, 0.0, k, prior)
+        return Model(Terms([]), np.empty(0), None, 0.0, k, prior)
     order = sorted(range(full.num_rows), key=lambda i, ids=full["doc_id"].to_pylist(): ids[i])
     full = full.take(pa.array(order)).combine_chunks()
     y = full["toxic"].to_numpy() > 0
@@ -228,16 +280,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int =
     coded = lists.flatten().dictionary_encode()
     terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     if not terms:
-        return Model([], np.empty(0), None, rate, k, prior)
-    values = pa.array(terms, pa.large_string())
-    shared = docs.sparkSession.sparkContext.broadcast(values)
+        return Model(Terms([]), np.empty(0), None, rate, k, prior)
+    terms = Terms(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def document_frequency(batches):
         known, rows = shared.value, 0
         seen = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for part in text_slices([batch]):
-                seen[:-1] += np.bincount(term_counts(part.column("text"), known)[1], minlength=len(known))
+                seen[:-1] += np.bincount(known.counts(part.column("text"))[1], minlength=len(known))
                 rows += part.num_rows
         seen[-1] = rows
         used = np.flatnonzero(seen)
@@ -247,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int =
     df = np.zeros(len(terms) + 1)
     got = docs.mapInArrow(document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[got["term"].to_numpy()] = got["n"].to_numpy()
+    shared.destroy()
     in_toxic, in_any = np.bincount(term[y[rows]], minlength=len(terms)), np.bincount(term, minlength=len(terms))
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance(in_toxic, in_any, y.sum(), len(y))
     # an example without any term has no vector and votes on nothing
