@@ -50,7 +50,7 @@ from .common import U64, discard, give_back, keyed, materialize, mix, plain_name
 from .substring_dedup import Pool, signed
 
 #: Shingles of a leaf, on average.
-LEAF = 1 << 15
+LEAF = 1 << 18
 ROWS_AT_ONCE = 600_000
 #: Keys that a task compares, on average: 40 MB of them.
 TASK_ROWS = 2_000_000

@@ -132,7 +132,7 @@ def brute_components(docs, k, num):
     return label
 
 
-@pytest.mark.parametrize("leaf", [1 << 15, 400])
+@pytest.mark.parametrize("leaf", [1 << 18, 400])
 def test_components_with_leaves_of_any_size(spark, monkeypatch, leaf):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     rng, docs = np.random.default_rng(3), []
