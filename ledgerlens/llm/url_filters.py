@@ -116,6 +116,7 @@ def judge(urls: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.
     )
     blocked = reputation(hosts, z).where(F.col("bad_low") > max_bad).select("host", F.lit("block").alias("_method"))
     known = hosts.select("host").join(blocked, "host", "left").join(fitting_rules(hosts.select("host"), rules), "host", "left").where("_method IS NOT NULL OR fits IS NOT NULL")
+    known = materialize(known)  # of a known size, so that urls are shuffled only if it is large
     longest = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])))
     return parsed.join(known, "host", "left").withColumn("_rule", longest).select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", "_method", F.lit("allow")).alias("verdict")
