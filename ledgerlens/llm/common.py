@@ -27,13 +27,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words handled at once in a Python worker; bounds its memory.
 WORDS_AT_ONCE = 200_000
+#: Bytes of an Arrow batch between Spark and a Python worker, unless the session sets
+#: another: Spark's default of 64 MB, or 10,000 texts, is held several times over on
+#: both sides, outside of Java's heap.
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 
 
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors, once a context: they need not have it
-    installed, nor share the driver's folders."""
+    installed, nor share the driver's folders. Bounds the session's Arrow batches."""
     sc = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, BATCH_BYTES)
     if getattr(sc, "_ledgerlens_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
