@@ -11,9 +11,14 @@ bucket numbers and the tokens with weights of their own (``HEAD``) are fixed.
 Within a class of other tokens the probability is (c + 1) / (N + V + 1) by that
 class's counts, so the whole is a distribution with one unknown token a class.
 Classes start from their counts. Every position of every training text is counted
-by (row, outcome); the counts are summed over all tasks in a shuffle and give one
-step of generalised iterative scaling, which needs no sample, no order and no
-learning rate. Of these counts the driver sees one table the size of the weights.
+by (row, outcome). Then ``rounds`` steps of generalised iterative scaling follow,
+which need no sample, no order and no learning rate: each compares these counts with
+those that the model expects, which are the sums of both softmaxes over every
+position of every training text. Before the first step they follow from the counts,
+as all rows expect the start; each later step takes a pass over the texts. Counts and
+expectations are whole numbers (the latter in units of 1 / ``UNIT``) and summed over
+all tasks in a shuffle, so their order makes no difference. Of either the driver sees
+one table the size of the weights.
 
 Defined cases: null and empty texts are the end token alone; rows of the same id
 and text are one document in both learning and scoring, each row getting its
@@ -39,6 +44,7 @@ CLASSES, HEAD = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * CLASS_SIZE
 BUCKETS, INNER_BUCKETS = 1 << 14, 1 << 11
 BATCH, BLOCK = 4096, 1 << 17
 ACTIVE, PRIOR = 3, 20.0  # features but for the bias
+ROUNDS, UNIT, STEP = 2, 1 << 16, 1 << 14
 KEY = "__key"
 
 
@@ -175,14 +181,15 @@ def log_probability(w: Weights, v: Vocabulary, place: np.ndarray, kind: np.ndarr
     return out
 
 
-def scaled(w: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+def scaled(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A step of generalised iterative scaling on whole counts: each weight moves by
     the logarithm of seen over expected count, shared among the ``ACTIVE`` features
-    that move. ``PRIOR`` further observations a row, as expected, hold back rare rows."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        more = PRIOR * expected / seen.sum(1, keepdims=True)
-        moved = np.log((seen + more) / (expected + more)) / ACTIVE
-    return (w + np.where(expected > 0, moved, 0.0)).astype(np.float32)
+    that move. ``PRIOR`` further observations a row, seen as at the ``start`` and
+    expected as the row's others, hold back rare rows. An expectation too small for
+    ``UNIT`` counts as at the start, half a unit a position at most."""
+    expected = np.where(expected > 0, expected, seen.sum(1, keepdims=True) * np.minimum(start, 0.5 / UNIT))
+    more = (expected + start) * (PRIOR / (seen.sum(1, keepdims=True) + 1))
+    return (w + np.log((seen + PRIOR * start) / (expected + more)) / ACTIVE).astype(np.float32)
 
 
 def seen_cells(v: Vocabulary, part: pa.RecordBatch) -> np.ndarray:
@@ -196,21 +203,83 @@ def seen_cells(v: Vocabulary, part: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([(outer[:, 1:] * CLASSES + kind[:, None]).ravel(), (rows * CLASS_SIZE + (place[head] % CLASS_SIZE)[:, None]).ravel() + BUCKETS * CLASSES])
 
 
-def train(docs: DataFrame, v: Vocabulary) -> Weights:
-    """docs(text) of training. Every position of every text counts once; whole
-    counts are summed over tasks, so how rows are dealt makes no difference."""
-    sc = docs.sparkSession.sparkContext
-    w = Weights.initial(v)
-    shared_v = sc.broadcast(v)
-    cells = w.outer.size + w.inner.size
+class Seen:
+    """Counts by cell over slices of texts."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.total = v, np.zeros(BUCKETS * CLASSES + INNER_BUCKETS * HEAD, np.int64)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        self.total += np.bincount(seen_cells(self.v, part), minlength=len(self.total))
+
+    def done(self) -> np.ndarray:
+        return self.total
+
+
+class Expected:
+    """Sums by cell, over slices of texts, of the softmaxes of each position's history,
+    in units of 1 / UNIT. Two sums of 32 bits share a number while they can. Shares are
+    rounded up or down in turn, by history and place in the text, so that small ones
+    are right on average and not lost."""
+
+    def __init__(self, v: Vocabulary, w: Weights) -> None:
+        self.v, self.weights = v, (w.outer, w.inner)
+        self.held, self.rows = [np.zeros(x.size // 2, U64) for x in self.weights], [0, 0]
+        self.totals = [np.zeros(x.size, np.int64) for x in self.weights]
+        self.turns = np.random.default_rng(1).permuted(np.tile((np.arange(1024, dtype=np.float32) / 1024)[:, None], CLASSES), axis=0)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        flat, offsets = with_ends(part)
+        _, kind, h = self.v.look_up(flat)
+        outer, inner = features(h, offsets)
+        turn = (np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets)) + outer[:, 2]) % len(self.turns)
+        for s in range(0, len(kind), STEP):
+            c = kind[s : s + STEP]
+            head = np.flatnonzero(c < HEAD_CLASSES)
+            self._add(0, outer[s : s + STEP], turn[s : s + STEP])
+            self._add(1, inner[s : s + STEP][head] * HEAD_CLASSES + c[head, None], turn[s : s + STEP][head])
+
+    def _add(self, which: int, rows: np.ndarray, turn: np.ndarray) -> None:
+        if (self.rows[which] + len(rows)) * ACTIVE >= (1 << 32) // (UNIT + 1):
+            self._flush(which)
+        self.rows[which] += len(rows)
+        w = self.weights[which]
+        share = np.empty((len(rows), w.shape[1]), np.uint32)
+        for s in range(0, len(rows), BATCH):
+            a = gathered(w, rows[s : s + BATCH])
+            a -= a.max(1, keepdims=True)
+            np.exp(a, out=a)
+            a *= (UNIT / a.sum(1))[:, None]
+            a += self.turns.take(turn[s : s + BATCH], 0)[:, : a.shape[1]]
+            share[s : s + BATCH] = a  # cut off to whole numbers
+        pairs = share.view(U64)
+        lane = np.arange(pairs.shape[1])
+        for j in range(1, ACTIVE + 1):
+            np.add.at(self.held[which], (rows[:, j, None] * len(lane) + lane).ravel(), pairs.ravel())
+
+    def _flush(self, which: int) -> None:
+        self.totals[which] += self.held[which].view(np.uint32)
+        self.held[which][:] = 0
+        self.rows[which] = 0
+
+    def done(self) -> np.ndarray:
+        for which in (0, 1):
+            self._flush(which)
+        return np.concatenate(self.totals)
+
+
+def summed(docs: DataFrame, begin) -> np.ndarray:
+    """Sums by cell over all texts; ``begin()`` makes the ``Seen`` or ``Expected`` of a
+    task. How rows are dealt makes no difference."""
 
     def count(batches):
-        voc, total = shared_v.value, None
+        sums = None
         for batch in batches:
             for part in text_slices([batch]):
-                total = np.zeros(cells, np.int64) if total is None else total
-                total += np.bincount(seen_cells(voc, part), minlength=cells)
-        for block in range(0, 0 if total is None else cells, BLOCK):
+                sums = sums or begin()
+                sums.add(part)
+        total = sums.done() if sums else np.empty(0, np.int64)
+        for block in range(0, len(total), BLOCK):
             n = total[block : block + BLOCK]
             if n.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block // BLOCK], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
@@ -224,14 +293,31 @@ def train(docs: DataFrame, v: Vocabulary) -> Weights:
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
 
     counted = docs.select("text").mapInArrow(count, "block int, n binary")
-    seen = np.zeros(cells)
+    out = np.zeros(BUCKETS * CLASSES + INNER_BUCKETS * HEAD)
     for row in counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, n binary").collect():
         n = np.frombuffer(row["n"], np.int64)
-        seen[row["block"] * BLOCK : row["block"] * BLOCK + len(n)] = n
-    outer, inner = seen[: w.outer.size].reshape(w.outer.shape), seen[w.outer.size :].reshape(w.inner.shape)
+        out[row["block"] * BLOCK : row["block"] * BLOCK + len(n)] = n
+    return out
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    """docs(text) of training. Every position of every text counts once, and its
+    softmaxes once a round."""
+    sc = docs.sparkSession.sparkContext
+    w = Weights.initial(v)
+    shared_v = sc.broadcast(v)
+    split = lambda x: (x[: w.outer.size].reshape(w.outer.shape), x[w.outer.size :].reshape(w.inner.shape))
+    seen = split(summed(docs, lambda: Seen(shared_v.value)))
     # at the start only the bias has weights, so all rows of a softmax expect its distribution
-    start = [np.exp(log_softmax(w.outer[:1].astype(float))), np.tile(np.exp(log_softmax(w.inner[:HEAD_CLASSES].astype(float))), (len(inner) // HEAD_CLASSES, 1))]
-    return Weights(*(scaled(x, n, n.sum(1, keepdims=True) * p) for x, n, p in zip((w.outer, w.inner), (outer, inner), start)))
+    start = (np.exp(log_softmax(w.outer[:1].astype(float))), np.tile(np.exp(log_softmax(w.inner[:HEAD_CLASSES].astype(float))), (INNER_BUCKETS, 1)))
+    expected = [n.sum(1, keepdims=True) * p for n, p in zip(seen, start)]
+    for left in reversed(range(rounds)):
+        w = Weights(*map(scaled, (w.outer, w.inner), seen, expected, start))
+        if left:
+            shared_w = sc.broadcast(w)
+            expected = split(summed(docs, lambda at=shared_w: Expected(shared_v.value, at.value)) / UNIT)
+            shared_w.destroy()
+    return w
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:

@@ -262,6 +262,40 @@ def test_language_model_of_any_partitions(spark):
     assert (one.outer == many.outer).all() and (one.inner == many.inner).all()
 
 
+def test_language_model_steps_on_expectations_of_its_softmaxes(spark):
+    """Each step against sums of plain softmaxes over every position; the likelihood rises."""
+    texts = [" ".join(f"w{(i * j + j) % (40 + i)}" for j in range(i % 23)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "__key long, text string")
+    v = lm_vocabulary(docs)
+    steps = [maxent_lm.train(docs, v, rounds) for rounds in (1, 2, 3)]
+    assert (maxent_lm.train(docs, v).outer == steps[maxent_lm.ROUNDS - 1].outer).all() and maxent_lm.ROUNDS > 1
+    flat, offsets = maxent_lm.with_ends(pa.RecordBatch.from_pydict({"text": texts}))
+    place, kind, h = v.look_up(flat)
+    outer, inner = maxent_lm.features(h, offsets)
+    total = [maxent_lm.log_probability(w, v, place, kind, outer, inner).sum() for w in (maxent_lm.Weights.initial(v), *steps)]
+    assert total == sorted(total)
+    begin = maxent_lm.Weights.initial(v)
+    for w, after in zip(steps, steps[1:]):
+        cells = [(w.outer, after.outer, begin.outer[:1], outer, kind)]
+        head = kind < maxent_lm.HEAD_CLASSES
+        rows = inner[head] * maxent_lm.HEAD_CLASSES + kind[head, None]
+        first = np.tile(begin.inner[: maxent_lm.HEAD_CLASSES], (maxent_lm.INNER_BUCKETS, 1))
+        cells.append((w.inner, after.inner, first, rows, place[head] % maxent_lm.CLASS_SIZE))
+        for old, new, bias, at, gold in cells:
+            seen, expected = np.zeros(old.shape), np.zeros(old.shape)
+            for r, g in zip(at, gold):
+                a = np.exp(old[r].astype(float).sum(0))
+                for j in r[1:]:
+                    seen[j, g] += 1
+                    expected[j] += a / a.sum()
+            n, p = seen.sum(1, keepdims=True), np.exp(bias.astype(float))
+            p /= p.sum(1, keepdims=True)
+            want = old + np.log((seen + 20 * p) / (expected + 20 * (expected + p) / (n + 1))) / 3
+            off = np.abs(new - want)[np.broadcast_to(p, new.shape) > 1e-5]  # smaller ones are rounded
+            moved = np.abs(new - old)[np.broadcast_to(p, new.shape) > 1e-5] > 1e-3
+            assert moved.any() and off.max() < 0.1 and off[moved].mean() < 0.01
+
+
 def test_probabilities_of_the_vocabulary_sum_to_one(spark):
     """After each history: all counted tokens, and one unknown token a tail class."""
     rows = [(i, " ".join(f"{'ab'[j % 2]}{(i * j) % (900 + i)}{'xyz'[(i + j) % 3]}" for j in range(60))) for i in range(80)]
