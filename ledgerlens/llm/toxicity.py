@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, ship, table, text_slices, word_hashes, words_of
+from .common import crc_mod, fresh, give_back, ship, table, text_slices, word_hashes, words_of
 
 BLOCK, FIRST, AT_ONCE, DENSE = 256, 4, 128, 512
 #: Added to every term's likelihood ratio.
@@ -247,7 +247,8 @@ def relevance(a: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.nd
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int = 15, prior: float = 0.1) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic). What comes to the driver: the
-    sample's terms and its examples' counts of them."""
+    sample's terms and its examples' counts of them. Its copies go as soon as they are
+    read, and their memory goes back, as the driver has stages after this one to run."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -272,16 +273,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int =
         return Model(Terms([]), np.empty(0), None, 0.0, k, prior)
     order = sorted(range(full.num_rows), key=lambda i, ids=full["doc_id"].to_pylist(): ids[i])
     full = full.take(pa.array(order)).combine_chunks()
-    y = full["toxic"].to_numpy() > 0
+    give_back()
+    y, keys = full["toxic"].to_numpy() > 0, np.array(full["doc_id"].to_pylist())
     rate = float(y.mean())
     lists = full["terms"].chunk(0)
     rows = np.repeat(np.arange(full.num_rows), np.diff(lists.offsets.to_numpy()))
     count = full["counts"].chunk(0).flatten().to_numpy()
     coded = lists.flatten().dictionary_encode()
-    terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if not terms:
+    terms, term = coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy().astype(np.int64)
+    del full, lists, coded, order
+    if not len(terms):
         return Model(Terms([]), np.empty(0), None, rate, k, prior)
     terms = Terms(terms)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def document_frequency(batches):
@@ -300,13 +304,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, k: int =
     got = docs.mapInArrow(document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     shared.destroy()
+    del got
     in_toxic, in_any = np.bincount(term[y[rows]], minlength=len(terms)), np.bincount(term, minlength=len(terms))
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance(in_toxic, in_any, y.sum(), len(y))
     # an example without any term has no vector and votes on nothing
     vector = np.unique(rows)
     place = np.searchsorted(vector, rows)
-    ids = np.array(full["doc_id"].to_pylist())[vector]
+    ids = keys[vector]
     index = BlockMaxIndex(ids, y[vector].astype(float), place, term, (1 + np.log(count)) * weight[term], len(terms))
+    give_back()
     model = Model(terms, weight, index, rate, k, prior)
     at = np.searchsorted(place, np.arange(len(vector) + 1))
     where = np.empty(len(ids), np.int64)
@@ -320,6 +326,7 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """docs(doc_id, text): doc_id, score, evidence (ids of the nearest examples)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    give_back()
 
     def run(batches):
         for part in text_slices(batches):
@@ -334,6 +341,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """The rows of docs, all columns kept, whose text scores under the threshold."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    give_back()
 
     def run(batches):
         for part in text_slices(batches):

@@ -136,3 +136,25 @@ def test_without_labels(spark):
     assert toxicity.keep_clean(odd, none).count() == len(ODD)
     empty = spark.createDataFrame([(2, 1)], "doc_id long, toxic int")  # the only example has no term
     assert {r.score for r in toxicity.score(odd, toxicity.train(odd, empty)).collect()} == {1.0}
+
+
+def own_mb():
+    """MB of this process, without mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+
+def test_training_memory_is_given_back(spark):
+    """Stages that run after this one have the driver's memory to themselves: training
+    leaves nothing behind that could be given back."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghij"))
+    rows = [(i, " ".join(map("".join, letters[rng.integers(0, 10, (300, 6))]))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(2500)], "doc_id long, toxic int")
+    del rows
+    kept = toxicity.keep_clean(docs, marks)
+    after = own_mb()
+    common.give_back()
+    assert after - own_mb() < 16
+    assert kept.columns == ["doc_id", "text"]
