@@ -5,7 +5,8 @@ small wire decoder. ``build`` then makes the same tokenizer out of parts:
 normaliser (precompiled map, extra white space, dummy prefix), the metaspace
 marker, unigram scores or BPE merges derived from the scores, and byte fallback.
 If no piece has the marker after another character, text can be cut before each
-run of markers without changing any result, which keeps long texts linear.
+run of markers without changing any result, which keeps long texts linear: words are
+then encoded once, as long as they are kept, and texts are put together from them.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
 control pieces typed in a text are ordinary text; null and repeated ids are kept row
@@ -22,8 +23,11 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table, text_slices
@@ -32,6 +36,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Words whose ids a worker keeps, about 50 MB of them; beyond that it starts anew.
+KEPT = 200_000
+#: Words that the tokenizer gets as one text.
+JOINED = 512
+CUT = f"{MARK}*[^{MARK}]+|{MARK}+"
 
 
 @dataclass
@@ -125,7 +134,7 @@ def build(model: Model):
         steps.append(normalizers.Prepend(MARK))
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in model.pieces):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(CUT), "isolated")
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     out.decoder = decoders.Sequence([*parts, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else parts)
     if own := [AddedToken(p, normalized=True) for p, _, k in model.pieces if k == USER]:
@@ -137,17 +146,74 @@ class Codec:
     """Encoder and decoder of one model."""
 
     def __init__(self, data: bytes) -> None:
+        from tokenizers import Tokenizer, normalizers
+
         self.model = parse_model(data)
         self.tokenizer = build(self.model)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.encode() for p, _, k in self.model.pieces]
+        self.parts = pa.array(self.bytes, pa.large_binary())
+        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
+        self.heads = np.array([p[:1] == MARK for p, _, _ in self.model.pieces])
+        self.known: dict[str, bytes] = {}
+        self.words = None
+        if self.tokenizer.pre_tokenizer is not None and all(k != USER for _, _, k in self.model.pieces):
+            self.words = Tokenizer(self.tokenizer.model)  # the same model, of normal text
+            self.words.pre_tokenizer = self.tokenizer.pre_tokenizer
+
+    def normal(self, text: str) -> str:
+        """What the tokenizer's normaliser makes of a text."""
+        if self.charsmap is not None:
+            text = self.charsmap.normalize_str(text)
+        if self.model.squeeze:
+            text = re.sub(" {2,}", " ", text)
+            text = text[text[:1] == " " : len(text) - (text[-1:] == " ")]
+        if self.model.dummy_prefix and text:
+            text = MARK + text
+        return text.replace(" ", MARK)
+
+    def _learn(self, words: list[str]) -> None:
+        """The ids of words, as bytes. Words of one marker at their start, where a piece
+        then begins with it, are encoded as one text, which is cut there again."""
+        joint, alone = [], []
+        for w in words:
+            (joint if w[0] == MARK != w[-1] and w.rfind(MARK) == 0 else alone).append(w)
+        groups = [joint[s : s + JOINED] for s in range(0, len(joint), JOINED)]
+        for group, e in zip(groups, self.words.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            cuts = 4 * np.flatnonzero(self.heads[ids])
+            if len(cuts) != len(group):  # the marker is no piece
+                alone += group
+                continue
+            data, cuts = ids.tobytes(), cuts.tolist()
+            self.known.update(zip(group, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
+        for word, e in zip(alone, self.words.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[word] = np.array(e.ids, np.int32).tobytes()
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's ids begin."""
+        if self.words is None:
+            ids = [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            lists = [re.findall(CUT, self.normal(t)) for t in texts]
+            if new := set(chain.from_iterable(lists)).difference(self.known):
+                self._learn(list(new))
+            ids = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        at = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)])
+        return np.frombuffer(b"".join(ids), np.int32), at
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, at = self.flat(texts)
+        return [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:])]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
+    def plain(self, data: bytes) -> str:
+        text = data.decode(errors="replace").replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.plain(b"".join(map(self.bytes.__getitem__, ids)))
+
     def parity(self, texts: list[str], data: bytes) -> list[bool]:
         """Whether the sentencepiece library gives the same ids and text."""
         import sentencepiece
@@ -185,15 +251,18 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 64, threads: int = 2
             for start in range(0, some.num_rows, chunk):
                 part = some.slice(start, chunk)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = c.encode(texts)
+                ids, at = c.flat(texts)
+                numbers, at = pa.array(ids), pa.array(at)
+                decimal = pc.binary_join(pa.LargeListArray.from_arrays(at, numbers.cast(pa.large_string())), pa.scalar(",", pa.large_string()))
+                back = pc.binary_join(pa.LargeListArray.from_arrays(at, c.parts.take(numbers)), pa.scalar(b"", pa.large_binary()))
                 out = {
                     "doc_id": part.column("doc_id"),
-                    "n_tokens": pa.array(map(len, ids), pa.int64()),
-                    "ids_sha256": [hashlib.sha256(repr(i)[1:-1].replace(" ", "").encode()).hexdigest() for i in ids],
-                    "round_trip": [c.decode(i) == t for i, t in zip(ids, texts)],
+                    "n_tokens": pc.subtract(at[1:], at[:-1]),
+                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i in decimal.cast(pa.large_binary()).to_pylist()],
+                    "round_trip": [c.plain(b) == t for b, t in zip(back.to_pylist(), texts)],
                 }
                 if keep_ids:
-                    out["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                    out["ids"] = pa.ListArray.from_arrays(at.cast(pa.int32()), numbers)
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids

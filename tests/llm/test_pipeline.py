@@ -91,3 +91,24 @@ def test_unigram_pieces():
                     best[j] = max(best[j], best[i] + scores[marked[i:j]])
         if best[-1] > -1e8:
             assert abs(sum(pieces[i][1] for i in ids) - best[-1]) < 1e-4
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Texts put together from words that are kept have the library's ids, whatever is
+    forgotten in between, and a word that is kept isn't encoded again."""
+    data = sentencepieces.read_model()
+    codec = sentencepieces.Codec(data)
+    mark = sentencepieces.MARK
+    odd = ["", " ", "  ", mark, f"{mark}{mark}a b{mark}", f"{mark} {mark}a", f"x  {mark}{mark} y ", "a \n b", "\n a ", "日本 é\x00x", "a\u3000b", "<s> </s> <unk>", "a" * 5000 + " b"]
+    docs = [t for t in dict.fromkeys(odd)]
+    rng = random.Random(2)
+    docs += [" ".join("".join(rng.choice("abcdeé1&日") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [e.ids for e in codec.tokenizer.encode_batch_fast(docs, add_special_tokens=False)]
+    assert all(codec.parity(docs, data))
+    asked = []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda words: (asked.extend(words), learn(words)))
+    assert codec.encode(docs) == want and not asked
+    monkeypatch.setattr(sentencepieces, "KEPT", 50)
+    assert [i for s in range(0, len(docs), 7) for i in codec.encode(docs[s : s + 7])] == want
+    assert asked
