@@ -174,7 +174,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -187,8 +187,8 @@ def window_hashes(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15
     if n < width:
         return np.empty(0, U64)
     inverse = pow(base, -1, 1 << 64)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * _powers(base, n), dtype=U64)])
-    return mix((sums[width:] - sums[:-width]) * _powers(inverse, n)[: n - width + 1])
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * powers(base, n), dtype=U64)])
+    return mix((sums[width:] - sums[:-width]) * powers(inverse, n)[: n - width + 1])
 
 
 def starts_inside(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

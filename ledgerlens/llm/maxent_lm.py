@@ -35,27 +35,56 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, crc_mod, keyed, materialize, mix, ship, sorted_groups, table, text_slices, word_hashes, words_of
+from .common import U64, crc_mod, keyed, materialize, mix, powers, ship, sorted_groups, table, text_slices, words_of
 
 END = "\n"  # no word has white space
 AT_ONCE = 1_200_000
 KNOWN, HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 300_000, 32, 32, 32
 CLASSES, HEAD = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * CLASS_SIZE
 BUCKETS, INNER_BUCKETS = 1 << 14, 1 << 11
-BATCH, BLOCK = 4096, 1 << 17
+BATCH, BLOCK = 2048, 1 << 17
 ACTIVE, PRIOR = 3, 20.0  # features but for the bias
 ROUNDS, UNIT, STEP = 2, 1 << 16, 1 << 14
+LANE = ((1 << 32) - 1) // (UNIT + 1)
+CELLS, TINY = 1 << 22, 1e-30
+BASE = 0x9E3779B97F4A7C15
 KEY = "__key"
 
 
+def coded_with_ends(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts and the end token; which of them each token is, each
+    text followed by the end token; offsets."""
+    flat, offsets = words_of(part.column("text"), lower=True)
+    coded = flat.dictionary_encode()
+    offsets = offsets + np.arange(part.num_rows + 1)
+    codes = np.empty(offsets[-1], np.int64)
+    word = np.ones(len(codes), bool)
+    word[offsets[1:] - 1] = False
+    codes[word] = coded.indices.to_numpy()
+    codes[offsets[1:] - 1] = len(coded.dictionary)
+    return pa.concat_arrays([coded.dictionary, pa.array([END], flat.type)]), codes, offsets
+
+
 def with_ends(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     """Words of the texts, each text followed by the end token; offsets."""
-    flat, offsets = words_of(part.column("text"), lower=True)
-    n = part.num_rows
-    at = np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(offsets))
-    order = np.full(len(flat) + n, len(flat))
-    order[at] = np.arange(len(flat))
-    return pa.concat_arrays([flat, pa.array([END], flat.type)]).take(pa.array(order)), offsets + np.arange(n + 1)
+    each, codes, offsets = coded_with_ends(part)
+    return each.take(pa.array(codes)), offsets
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word: a polynomial of its bytes modulo 2**64 in an odd base,
+    from one running sum, mixed. Words of one hash would share weights; counts and places
+    in the vocabulary never come from a hash alone."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.empty(0, U64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    text = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sums = np.zeros(len(text) + 1, U64)
+    np.cumsum((text + U64(1)) * powers(BASE, len(text)), out=sums[1:])
+    return mix((sums[ends[1:]] - sums[ends[:-1]]) * powers(pow(BASE, -1, 1 << 64), len(sums))[ends[:-1]])
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -69,8 +98,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         held, rows = [], 0
         for batch in batches:
             for part in text_slices([batch]):
-                counted = with_ends(part)[0].value_counts()
-                held.append(pa.table([counted.field("values").cast(pa.string()), counted.field("counts")], ["token", "c"]))
+                each, codes, _ = coded_with_ends(part)
+                held.append(pa.table([each.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(each)))], ["token", "c"]))
                 rows += held[-1].num_rows
                 if rows > AT_ONCE:
                     held = [summed(held)]
@@ -84,8 +113,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def tail_class(tokens: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(t[-2:].encode()) % TAIL_CLASSES + HEAD_CLASSES for t in tokens), np.int64, len(tokens))
+def tail_class(tokens: pa.Array | list[str]) -> np.ndarray:
+    ends = pc.utf8_slice_codeunits(tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.large_string()), -2).dictionary_encode()
+    each = ends.dictionary.to_pylist()
+    return np.fromiter((zlib.crc32(t.encode()) % TAIL_CLASSES + HEAD_CLASSES for t in each), np.int64, len(each))[ends.indices.to_numpy()]
 
 
 class Vocabulary:
@@ -98,29 +129,88 @@ class Vocabulary:
         self.kind[HEAD:] = tail_class(tokens[HEAD:])
         hashes = word_hashes(self.tokens)
         self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        self.hashes = np.append(hashes[self.order], ~U64(0))
+        self.first = np.searchsorted(self.hashes[:-1], np.arange(1 << 18, dtype=U64) << U64(46))
 
     def look_up(self, flat: pa.Array) -> tuple[np.ndarray, ...]:
         """By token: place in the vocabulary (-1 if not there), class, hash."""
         coded = flat.dictionary_encode()
-        each, i = coded.dictionary, coded.indices.to_numpy()
+        return self.look_up_coded(coded.dictionary, coded.indices.to_numpy())
+
+    def look_up_coded(self, each: pa.Array, i: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same for distinct words ``each`` and which of them every token is."""
         h = word_hashes(each)
         place, kind = np.full(len(h), -1), np.empty(len(h), np.int64)
-        if len(self.hashes):
-            near = self.order[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)]
+        if len(self.order):
+            near = self.first[h >> U64(46)]  # of the same highest bits, then the first hash that isn't less
+            less = np.flatnonzero(self.hashes[near] < h)
+            while len(less):
+                near[less] += 1
+                less = less[self.hashes[near[less]] < h[less]]
+            near = self.order[np.minimum(near, len(self.order) - 1)]
             same = pc.equal(self.tokens.take(pa.array(near)), each.cast(self.tokens.type)).to_numpy(zero_copy_only=False)
             place[same] = near[same]
         found = place >= 0
         kind[found] = self.kind[place[found]]
         rest = np.flatnonzero(~found)
-        kind[rest] = tail_class(each.take(pa.array(rest)).to_pylist())
+        kind[rest] = tail_class(each.take(pa.array(rest)))
         return place[i], kind[i], h[i]
 
 
+class Softmax:
+    """Shares by the sum of a bias row and ``ACTIVE`` rows of features. They are in
+    proportion to products of exponentials, which are taken once a row of the weights,
+    its greatest weight as 0, and not at every position; the first of the features has
+    the bias in it. Products that come near the least of their type go by logarithms."""
+
+    def __init__(self, w: np.ndarray, biases: int) -> None:
+        self.logs = w - w.max(1, keepdims=True)
+        self.factors = np.exp(self.logs)
+        self.first = (self.factors.reshape(-1, biases, w.shape[1]) * self.factors[:biases]).reshape(w.shape)
+        self.space = np.empty((2, BATCH, w.shape[1]), w.dtype)
+
+    def products(self, at: np.ndarray) -> np.ndarray:
+        """For ``BATCH`` positions at most, until the next call."""
+        out, other = self.space[:, : len(at)]
+        self.first.take(at[:, 1], 0, out=out, mode="clip")
+        for j in range(2, at.shape[1]):
+            out *= self.factors.take(at[:, j], 0, out=other, mode="clip")
+        return out
+
+    def shares(self, at: np.ndarray, unit: float = 1.0) -> np.ndarray:
+        out = self.products(at)
+        total = np.einsum("ij->i", out)
+        low = np.flatnonzero(total < TINY)
+        if len(low):
+            out[low], total[low] = np.exp(log_softmax(gathered(self.logs, at[low]))), 1
+        out *= (unit / total)[:, None]
+        return out
+
+    def log_share(self, at: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """Logarithm of the share of one column a row."""
+        out = self.products(at)
+        own, total = out[np.arange(len(at)), gold], np.einsum("ij->i", out)
+        low = np.flatnonzero(own < TINY)
+        own[low] = total[low] = 1
+        own = np.log(own / total)
+        if len(low):
+            own[low] = log_softmax(gathered(self.logs, at[low]))[np.arange(len(low)), gold[low]]
+        return own
+
+
 class Weights:
     def __init__(self, outer: np.ndarray, inner: np.ndarray) -> None:
         self.outer, self.inner = outer, inner  # (BUCKETS, CLASSES), (INNER_BUCKETS * HEAD_CLASSES, CLASS_SIZE)
 
+    def softmaxes(self) -> tuple[Softmax, Softmax]:
+        """Of both tables; made once a process, where they are first used."""
+        if not hasattr(self, "_softmaxes"):
+            self._softmaxes = Softmax(self.outer, 1), Softmax(self.inner, HEAD_CLASSES)
+        return self._softmaxes
+
+    def __getstate__(self) -> dict:
+        return {"outer": self.outer, "inner": self.inner}
+
     @classmethod
     def initial(cls, v: Vocabulary) -> Weights:
         head = np.zeros(HEAD)
@@ -140,8 +230,8 @@ def features(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     one[start] = 1
     two = np.concatenate([np.zeros(1, U64), one[:-1]])
     two[start] = 2
-    names = [mix(one ^ U64(11)), mix(one * U64(3) + two), mix(two ^ U64(13))]
-    return tuple(np.stack([np.zeros(len(h), np.int64), *((x % U64(size - 1)).astype(np.int64) + 1 for x in names)], 1) for size in (BUCKETS, INNER_BUCKETS))
+    names = [mix(x) >> U64(32) for x in (one ^ U64(11), one * U64(3) + two, two ^ U64(13))]
+    return tuple(np.stack([np.zeros(len(h), np.int64), *(((x * U64(size - 1) >> U64(32)) + U64(1)).view(np.int64) for x in names)]).T for size in (BUCKETS, INNER_BUCKETS))
 
 
 def log_softmax(a: np.ndarray) -> np.ndarray:
@@ -149,13 +239,6 @@ def log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(1, keepdims=True))
 
 
-def log_share(a: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """log_softmax at one column a row; ``a`` is used up."""
-    a -= a.max(1, keepdims=True)
-    own = a[np.arange(len(a)), gold]
-    return own - np.log(np.exp(a, out=a).sum(1))
-
-
 def gathered(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = w.take(at[:, 0], 0)
     for j in range(1, at.shape[1]):
@@ -167,13 +250,14 @@ def log_probability(w: Weights, v: Vocabulary, place: np.ndarray, kind: np.ndarr
     """Natural logarithm by token; for tokens out of the vocabulary without the
     count, which is added later."""
     out = np.empty(len(place))
+    by_class, by_token = w.softmaxes()
     for s in range(0, len(place), BATCH):
         at = slice(s, s + BATCH)
         c = kind[at]
-        out[at] = log_share(gathered(w.outer, outer[at]), c)
+        out[at] = by_class.log_share(outer[at], c)
         head = np.flatnonzero(c < HEAD_CLASSES)
         rows = inner[at][head] * HEAD_CLASSES + c[head, None]
-        out[s + head] += log_share(gathered(w.inner, rows), place[at][head] % CLASS_SIZE)
+        out[s + head] += by_token.log_share(rows, place[at][head] % CLASS_SIZE)
     tail = np.flatnonzero(kind >= HEAD_CLASSES)
     t = kind[tail] - HEAD_CLASSES
     out[tail] -= np.log(v.tail_n[t] + v.tail_v[t] + 1.0)
@@ -195,8 +279,8 @@ def scaled(w: np.ndarray, seen: np.ndarray, expected: np.ndarray, start: np.ndar
 def seen_cells(v: Vocabulary, part: pa.RecordBatch) -> np.ndarray:
     """Cells of the outer, then of the inner weights: one for each feature of each
     position of the texts. The bias has none: it starts where its counts are."""
-    flat, offsets = with_ends(part)
-    place, kind, h = v.look_up(flat)
+    *coded, offsets = coded_with_ends(part)
+    place, kind, h = v.look_up_coded(*coded)
     outer, inner = features(h, offsets)
     head = np.flatnonzero(kind < HEAD_CLASSES)
     rows = inner[head, 1:] * HEAD_CLASSES + kind[head, None]
@@ -208,29 +292,41 @@ class Seen:
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.total = v, np.zeros(BUCKETS * CLASSES + INNER_BUCKETS * HEAD, np.int64)
+        self.held, self.cells = [], 0
 
     def add(self, part: pa.RecordBatch) -> None:
-        self.total += np.bincount(seen_cells(self.v, part), minlength=len(self.total))
+        self.held.append(seen_cells(self.v, part).astype(np.int32))
+        self.cells += len(self.held[-1])
+        if self.cells >= CELLS:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.total += np.bincount(np.concatenate([np.empty(0, np.int32), *self.held]), minlength=len(self.total))
+        self.held, self.cells = [], 0
 
     def done(self) -> np.ndarray:
+        self._flush()
         return self.total
 
 
 class Expected:
     """Sums by cell, over slices of texts, of the softmaxes of each position's history,
-    in units of 1 / UNIT. Two sums of 32 bits share a number while they can. Shares are
-    rounded up or down in turn, by history and place in the text, so that small ones
-    are right on average and not lost."""
+    in units of 1 / UNIT. Two sums of 32 bits share a number while they can, that is, as
+    long as no row of the weights has met more than ``LANE`` positions. Shares are
+    rounded up or down in turn, by history and place in the text, so that small ones are
+    right on average and not lost."""
 
     def __init__(self, v: Vocabulary, w: Weights) -> None:
-        self.v, self.weights = v, (w.outer, w.inner)
-        self.held, self.rows = [np.zeros(x.size // 2, U64) for x in self.weights], [0, 0]
-        self.totals = [np.zeros(x.size, np.int64) for x in self.weights]
-        self.turns = np.random.default_rng(1).permuted(np.tile((np.arange(1024, dtype=np.float32) / 1024)[:, None], CLASSES), axis=0)
+        self.v, self.softmaxes = v, w.softmaxes()
+        self.held = [np.zeros(x.size // 2, U64) for x in (w.outer, w.inner)]
+        self.met = [np.zeros(len(x), np.int64) for x in (w.outer, w.inner)]
+        self.totals = [np.zeros(x.size, np.int64) for x in (w.outer, w.inner)]
+        turns = np.random.default_rng(1).permuted(np.tile((np.arange(1024, dtype=np.float32) / 1024)[:, None], CLASSES), axis=0)
+        self.turns = turns, turns[:, :CLASS_SIZE].copy()
 
     def add(self, part: pa.RecordBatch) -> None:
-        flat, offsets = with_ends(part)
-        _, kind, h = self.v.look_up(flat)
+        *coded, offsets = coded_with_ends(part)
+        _, kind, h = self.v.look_up_coded(*coded)
         outer, inner = features(h, offsets)
         turn = (np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets)) + outer[:, 2]) % len(self.turns)
         for s in range(0, len(kind), STEP):
@@ -240,27 +336,29 @@ class Expected:
             self._add(1, inner[s : s + STEP][head] * HEAD_CLASSES + c[head, None], turn[s : s + STEP][head])
 
     def _add(self, which: int, rows: np.ndarray, turn: np.ndarray) -> None:
-        if (self.rows[which] + len(rows)) * ACTIVE >= (1 << 32) // (UNIT + 1):
+        met = np.bincount(rows[:, 1:].ravel(), minlength=len(self.met[which]))
+        if (self.met[which] + met).max() > LANE:
             self._flush(which)
-        self.rows[which] += len(rows)
-        w = self.weights[which]
-        share = np.empty((len(rows), w.shape[1]), np.uint32)
+        self.met[which] += met
+        soft, turns = self.softmaxes[which], self.turns[which]
+        width = turns.shape[1]
+        lane = np.arange(width // 2)
+        extra, share, cells = np.empty((BATCH, width), np.float32), np.empty((BATCH, width), np.int32), np.empty((BATCH, width // 2), np.int64)
         for s in range(0, len(rows), BATCH):
-            a = gathered(w, rows[s : s + BATCH])
-            a -= a.max(1, keepdims=True)
-            np.exp(a, out=a)
-            a *= (UNIT / a.sum(1))[:, None]
-            a += self.turns.take(turn[s : s + BATCH], 0)[:, : a.shape[1]]
-            share[s : s + BATCH] = a  # cut off to whole numbers
-        pairs = share.view(U64)
-        lane = np.arange(pairs.shape[1])
-        for j in range(1, ACTIVE + 1):
-            np.add.at(self.held[which], (rows[:, j, None] * len(lane) + lane).ravel(), pairs.ravel())
+            at = rows[s : s + BATCH]
+            n = len(at)
+            a = soft.shares(at, UNIT)
+            a += turns.take(turn[s : s + BATCH], 0, out=extra[:n], mode="clip")
+            share[:n] = a  # cut off to whole numbers
+            pairs = share[:n].view(U64).ravel()
+            for j in range(1, ACTIVE + 1):
+                np.add((at[:, j] * len(lane))[:, None], lane, out=cells[:n])
+                np.add.at(self.held[which], cells[:n].ravel(), pairs)
 
     def _flush(self, which: int) -> None:
         self.totals[which] += self.held[which].view(np.uint32)
         self.held[which][:] = 0
-        self.rows[which] = 0
+        self.met[which][:] = 0
 
     def done(self) -> np.ndarray:
         for which in (0, 1):
@@ -356,8 +454,8 @@ def score(docs: DataFrame, held_out, known: int = KNOWN) -> DataFrame:
         log_counts = np.log10(voc.counts + 1.0)
         for batch in batches:
             for part in text_slices([batch]):
-                flat, offsets = with_ends(part)
-                place, kind, h = voc.look_up(flat)
+                each_word, codes, offsets = coded_with_ends(part)
+                place, kind, h = voc.look_up_coded(each_word, codes)
                 outer, inner = features(h, offsets)
                 model = np.concatenate([np.zeros(1), np.cumsum(log_probability(weights, voc, place, kind, outer, inner))]) / np.log(10)
                 simple = np.concatenate([np.zeros(1), np.cumsum(np.where(place >= 0, log_counts[place], 0.0))])
@@ -370,12 +468,11 @@ def score(docs: DataFrame, held_out, known: int = KNOWN) -> DataFrame:
                 rest = np.flatnonzero(place < 0)
                 if len(rest):
                     row = np.repeat(np.arange(len(n)), n)[rest]
-                    coded = flat.take(pa.array(rest)).dictionary_encode()
-                    size = len(coded.dictionary)
-                    pair, times = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+                    size = len(each_word)
+                    pair, times = np.unique(row * size + codes[rest], return_counts=True)
                     zero = pa.array(np.zeros(len(pair), np.int64))
                     nil = pa.array(np.zeros(len(pair)))
-                    yield pa.RecordBatch.from_arrays([key.take(pa.array(pair // size)), coded.dictionary.take(pa.array(pair % size)).cast(pa.string()), pa.array(times.astype(np.int64)), zero, zero, nil, nil], NAMES)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(pair // size)), each_word.take(pa.array(pair % size)).cast(pa.string()), pa.array(times.astype(np.int64)), zero, zero, nil, nil], NAMES)
 
     rows = materialize(each.select(KEY, "text").mapInArrow(run, f"{KEY} long, token string, times long, n long, seen long, simple double, model double"))
     lg = F.col("times") * F.log10(F.col("c") + 1.0)

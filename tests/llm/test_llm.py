@@ -1,5 +1,6 @@
 """Text operators against SQL and brute force, with odd rows of every kind."""
 
+import cProfile
 import hashlib
 import math
 import re
@@ -355,6 +356,54 @@ def test_both_softmaxes_have_every_feature():
         assert rows[2, 1] == rows[5, 1] and rows[2, 2] != rows[5, 2] and rows[2, 3] != rows[5, 3]
 
 
+def test_language_model_takes_no_step_a_word_and_no_flush_a_chunk(monkeypatch):
+    """Words that a task hasn't met are looked up together; the sums of softmaxes are
+    moved to wide numbers when a row of the weights is full, not after so many positions."""
+    tokens = ["\n", *(f"w{i}" for i in range(3000))]
+    v = maxent_lm.Vocabulary(tokens, [9] * 3001, 30_000, 3001, np.ones(32), np.ones(32))
+    flat = pa.array([f"w{i}é" if i % 2 else f"w{i}" for i in range(20_000)], pa.large_string())
+    calls = cProfile.Profile()
+    place, kind, h = calls.runcall(v.look_up, flat)
+    assert sum(x.callcount for x in calls.getstats()) < 5000
+    assert place.tolist() == [-1 if i % 2 or i >= 3000 else i + 1 for i in range(20_000)] and len(set(h.tolist())) == 20_000
+    rest = np.flatnonzero(place < 0)
+    assert kind[rest].tolist() == [zlib.crc32(flat[i].as_py()[-2:].encode()) % 32 + 32 for i in rest.tolist()]
+    flushes, plain = [], maxent_lm.Expected._flush
+    monkeypatch.setattr(maxent_lm.Expected, "_flush", lambda self, which: (flushes.append(which), plain(self, which)))
+    sums = maxent_lm.Expected(v, maxent_lm.Weights.initial(v))
+    text = lambda r: " ".join(f"w{(i * 7919 + r) % 9973}" for i in range(8000))
+    for r in range(10):
+        sums.add(pa.RecordBatch.from_pydict({"text": [text(r)]}))
+    total = sums.done()
+    assert len(flushes) == 2  # both at the end
+    assert abs(total[: maxent_lm.BUCKETS * maxent_lm.CLASSES].sum() / maxent_lm.UNIT / (3 * 80_010) - 1) < 1e-3
+
+
+def test_language_model_sums_beyond_32_bits():
+    v = maxent_lm.Vocabulary(["\n", "a"], [10, 3_000_000], 3_000_010, 2, np.zeros(32), np.zeros(32))
+    w = maxent_lm.Weights.initial(v)
+    sums = maxent_lm.Expected(v, w)
+    for _ in range(3):
+        sums.add(pa.RecordBatch.from_pydict({"text": ["a " * 100_000]}))
+    got = sums.done()[: w.outer.size].reshape(w.outer.shape) / maxent_lm.UNIT
+    assert got.sum(1).max() > 3 * 99_000 and abs(got.sum() / (9 * 100_001) - 1) < 1e-4
+    p = np.exp(w.outer[0].astype(float))
+    assert np.abs(got.sum(0) / got.sum() - p / p.sum()).max() < 1e-4
+
+
+def test_softmaxes_of_extreme_weights():
+    """Shares and their logarithms where products of exponentials leave their type."""
+    rng = np.random.default_rng(0)
+    w = (rng.normal(size=(64, 8)) * np.repeat([1, 20, 60, 200], 16)[:, None]).astype(np.float32)
+    soft = maxent_lm.Softmax(w, 4)
+    at = np.stack([np.arange(1000) % 4, *(rng.integers(1, 16, (3, 1000)) * 4 + np.arange(1000) % 4)], 1)
+    gold = rng.integers(0, 8, 1000)
+    want = maxent_lm.log_softmax(w[at].astype(float).sum(1))
+    assert np.abs(soft.shares(at) - np.exp(want)).max() < 1e-3
+    assert np.allclose(soft.log_share(at, gold), want[np.arange(1000), gold], rtol=1e-4, atol=1e-3)
+    assert want.min() < -200
+
+
 def test_html():
     page = "<nav><a href=/>Menu</a></nav><article><h1>A &amp; b</h1><p>One two.<p>x < y<script>no</script></article><div class=comments><p>the cat of the dog is in the house and on it</p></div><footer>&copy;</footer>"
     assert html_text.extract(page) == "A & b\nOne two.\nx < y"
