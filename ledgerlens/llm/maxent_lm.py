@@ -32,6 +32,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ ACTIVE, PRIOR = 3, 20.0  # features but for the bias
 ROUNDS, UNIT, STEP = 2, 1 << 16, 1 << 14
 LANE = ((1 << 32) - 1) // (UNIT + 1)
 CELLS, TINY = 1 << 22, 1e-30
-BASE = 0x9E3779B97F4A7C15
+BASE, HASHED = 0x9E3779B97F4A7C15, 1 << 18
 KEY = "__key"
 
 
@@ -73,18 +74,30 @@ def with_ends(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of every word: a polynomial of its bytes modulo 2**64 in an odd base,
-    from one running sum, mixed. Words of one hash would share weights; counts and places
-    in the vocabulary never come from a hash alone."""
+    from one running sum over many words, mixed; words beyond ``HASHED`` bytes go one by
+    one. Words of one hash would share weights; counts and places in the vocabulary never
+    come from a hash alone."""
     words = words.cast(pa.large_string())
+    out = np.empty(len(words), U64)
     if not len(words):
-        return np.empty(0, U64)
+        return out
     _, ends, data = words.buffers()
     ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
-    text = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    sums = np.zeros(len(text) + 1, U64)
-    np.cumsum((text + U64(1)) * powers(BASE, len(text)), out=sums[1:])
-    return mix((sums[ends[1:]] - sums[ends[:-1]]) * powers(pow(BASE, -1, 1 << 64), len(sums))[ends[:-1]])
+    most = min(HASHED, int(ends[-1] - ends[0]))
+    up, down = powers(BASE, most), powers(pow(BASE, -1, 1 << 64), most + 1)
+    sums = np.zeros(most + 1, U64)
+    start = 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HASHED, side="right")) - 1)
+        text = np.frombuffer(data, np.uint8)[ends[start] : ends[stop]]
+        if len(text) > HASHED:
+            out[start] = xxhash.xxh3_64_intdigest(text)
+        else:
+            at = ends[start : stop + 1] - ends[start]
+            np.cumsum((text + U64(1)) * up[: len(text)], out=sums[1 : len(text) + 1])
+            out[start:stop] = mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
+        start = stop
+    return out
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:

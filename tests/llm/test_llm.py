@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -379,6 +380,23 @@ def test_language_model_takes_no_step_a_word_and_no_flush_a_chunk(monkeypatch):
     assert abs(total[: maxent_lm.BUCKETS * maxent_lm.CLASSES].sum() / maxent_lm.UNIT / (3 * 80_010) - 1) < 1e-3
 
 
+def test_word_hashes_are_of_the_word_alone():
+    """Wherever a word stands, in whatever block; long words take no memory by the byte."""
+    long = ["x" * n for n in (maxent_lm.HASHED - 1, maxent_lm.HASHED, maxent_lm.HASHED + 1, 2_000_000)]
+    words = ["", "a", "a\0", "é", *long[:2], "b", *long[2:], *(f"w{i}" for i in range(80_000)), "aa"]
+    got = maxent_lm.word_hashes(pa.array(words))
+    assert len(set(got.tolist())) == len(words)
+    some = [*range(12), 40_000, len(words) - 1]
+    assert [maxent_lm.word_hashes(pa.array([words[i]]))[0] for i in some] == got[some].tolist()
+    assert (maxent_lm.word_hashes(pa.array(words, pa.large_string()).slice(5, 70_000)) == got[5:70_005]).all()
+    plain = sum((b + 1) * pow(maxent_lm.BASE, i, 1 << 64) for i, b in enumerate("é".encode())) % (1 << 64)
+    assert got[3] == maxent_lm.mix(np.array([plain], np.uint64))[0]
+    tracemalloc.start()
+    maxent_lm.word_hashes(pa.array(["x" * 20_000_000]))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_language_model_sums_beyond_32_bits():
     v = maxent_lm.Vocabulary(["\n", "a"], [10, 3_000_000], 3_000_010, 2, np.zeros(32), np.zeros(32))
     w = maxent_lm.Weights.initial(v)
